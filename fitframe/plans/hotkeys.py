@@ -1,0 +1,33 @@
+"""Splitting of join keys that hold far more than a fair share of rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def hot_keys(counts: DataFrame, key: str, total: int, num_partitions: int) -> DataFrame:
+    """``(key, pieces)`` for keys above an even partition's share of ``total``.
+
+    ``counts`` is ``(key, n)``. No more than ``num_partitions`` keys can be above
+    that share, which bounds the result whatever the data.
+    """
+    share = F.lit(max(1.0, total / num_partitions))
+    return counts.where(F.col("n") > share).select(
+        key, F.ceil(F.col("n") / share).cast("int").alias("pieces")
+    )
+
+
+def split_hot(rows: DataFrame, hot: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Add ``piece``: 0 for ordinary keys, a hash of ``spread`` for hot ones."""
+    tagged = rows.join(F.broadcast(hot), key, "left")
+    piece = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(spread), F.col("pieces")).cast("int")
+    )
+    return tagged.withColumn("piece", piece).drop("pieces")
+
+
+def copy_to_pieces(lookup: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """One copy of each lookup row per piece of its key."""
+    tagged = lookup.join(F.broadcast(hot), key, "left")
+    last = F.coalesce(F.col("pieces"), F.lit(1)) - 1
+    return tagged.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).drop("pieces")
