@@ -1,48 +1,58 @@
-"""Array expressions shared by the packed (one array per example) plans."""
+"""Array expressions shared by the plans.
+
+They are SQL text: one expression is then one call into the session, which
+matters in a training loop that plans a few queries per step.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-def dense_dot(x: Column, w: Column) -> Column:
+
+def dense_dot(x: str, w: str) -> str:
     """Sum of x[i] * w[i]. A position that only one side has counts as 0."""
-    terms = F.zip_with(x, w, lambda a, b: F.coalesce(a * b, F.lit(0.0)))
-    return F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
+    terms = f"zip_with({x}, {w}, (a, b) -> coalesce(a * b, 0D))"
+    return f"aggregate({terms}, 0D, (total, term) -> total + term)"
+
+
+def short_dot(x: str, w: str, length: int) -> str:
+    """``dense_dot`` written out, so that it compiles to plain arithmetic."""
+    return " + ".join(f"coalesce(get({x}, {i}) * get({w}, {i}), 0D)" for i in range(length))
 
 
-def sparse_dot(indices: Column, values: Column, w: Column) -> Column:
+def sparse_dot(indices: str, values: str, w: str) -> str:
     """Sum of values[k] * w[indices[k]]. Indices outside ``w`` count as 0."""
-    terms = F.zip_with(
-        indices, values, lambda i, v: v * F.coalesce(F.get(w, i), F.lit(0.0))
-    )
-    return F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
+    terms = f"zip_with({indices}, {values}, (i, v) -> v * coalesce(get({w}, i), 0D))"
+    return f"aggregate({terms}, 0D, (total, term) -> total + term)"
 
 
-def to_dense(indices: Column, values: Column, num_features: int) -> Column:
+def to_dense(indices: str, values: str, num_features: int) -> Column:
     """Sparse arrays to one array of ``num_features`` doubles; repeats add up."""
+    hits = f"zip_with({indices}, {values}, (i, v) -> if(i = cell, v, 0D))"
+    cell = f"aggregate({hits}, 0D, (total, v) -> total + v)"
+    return F.expr(f"transform(sequence(0, {num_features - 1}), cell -> {cell})")
 
-    def cell(position: Column) -> Column:
-        hits = F.zip_with(
-            indices, values, lambda i, v: F.when(i == position, v).otherwise(F.lit(0.0))
-        )
-        return F.aggregate(hits, F.lit(0.0), lambda total, v: total + v)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(num_features - 1)), cell)
+def number(x: float) -> str:
+    """A driver scalar as a double literal."""
+    return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
 
 
-def literal_array(numbers) -> Column:
-    """Driver scalars as one constant array column."""
-    return F.array(*[F.lit(float(x)) for x in numbers])
+def number_array(numbers: Iterable[float]) -> str:
+    """Driver scalars as an array literal."""
+    return f"array({', '.join(number(float(x)) for x in numbers)})"
 
 
 def packed_vector(vector: DataFrame, num_features: int, value: str = "v") -> Column:
     """A whole ``(idx, value)`` vector as one array, for use as a scalar subquery.
 
-    The array holds ``num_features`` doubles, so callers check that number
-    against their size bound first. The vector must have every index.
+    ``value`` may be any SQL expression over the vector's columns. The array
+    holds ``num_features`` doubles, so callers check that number against their
+    size bound first. The vector must have every index.
     """
-    cells = vector.where(F.col("idx").between(0, num_features - 1)).select(
-        F.struct("idx", F.col(value).alias("v")).alias("cell")
-    )
-    ordered = F.sort_array(F.collect_list("cell"))
-    return cells.agg(F.transform(ordered, lambda c: c["v"]).alias("packed")).scalar()
+    ordered = f"sort_array(collect_list(struct(idx, {value} AS v)))"
+    cells = vector.where(f"idx BETWEEN 0 AND {num_features - 1}")
+    return cells.agg(F.expr(f"transform({ordered}, c -> c.v)")).scalar()

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fitframe.functions.arrays import dense_dot, literal_array, packed_vector
+from fitframe.functions.arrays import dense_dot, number_array, packed_vector
 
 
 @dataclass(frozen=True)
@@ -104,9 +104,9 @@ class DistributedMatrix:
         else:
             if len(coefficients) != self.num_cols:
                 raise ValueError(f"{len(coefficients)} weights for {self.num_cols} columns")
-            weights = literal_array(coefficients)
+            weights = F.expr(number_array(coefficients))
         attached = self.rows.select("idx", "row", weights.alias("weights"))
-        return attached.select("idx", dense_dot(F.col("row"), F.col("weights")).alias("v"))
+        return attached.selectExpr("idx", f"{dense_dot('row', 'weights')} AS v")
 
     def gram(self) -> DataFrame:
         """All inner products of columns, ``(i, j, v)`` for i <= j.

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from fitframe.functions.arrays import literal_array
+from fitframe.functions.arrays import number_array
 from fitframe.functions.losses import Loss
 from fitframe.plans.scoring import BroadcastScores, JoinScores
 
@@ -18,7 +18,16 @@ LOSS_ROW = -1
 class Evaluation:
     def __init__(self, scores: BroadcastScores | JoinScores, loss: Loss):
         self.scores = scores
-        self.loss = loss
+        self._loss = loss
+        y, z = F.col("label"), F.col("z")
+        self._per_example = [loss.residual(y, z).alias("residual"), loss.value(y, z).alias("loss")]
+        if scores.examples.is_sparse:
+            self._inputs = ["indices", "values"]
+            marked = f"concat(indices, array({LOSS_ROW})), concat(values, array(0D))"
+            self._cells = f"inline(arrays_zip({marked})) AS (idx, v)"
+        else:
+            self._inputs = ["values"]
+            self._cells = "posexplode(concat(array(0D), values)) AS (pos, v)"
 
     def sums(self, weights: DataFrame) -> DataFrame:
         """``(idx, total, cells)`` at weights ``(idx, v)``.
@@ -28,33 +37,15 @@ class Evaluation:
         sums combine inside each partition before the shuffle, so a feature
         that every example has sends one row per partition.
         """
-        y, z = F.col("label"), F.col("z")
-        sparse = self.scores.examples.is_sparse
-        per_example = self.scores.add({"z": weights}).select(
-            self.loss.residual(y, z).alias("residual"),
-            self.loss.value(y, z).alias("loss"),
-            "values",
-            *(["indices"] if sparse else []),
-        )
-        if sparse:
-            marked = F.arrays_zip(
-                F.concat("indices", F.array(F.lit(LOSS_ROW))),
-                F.concat("values", F.array(F.lit(0.0))),
-            )
-            cells = per_example.select("residual", "loss", F.explode(marked).alias("cell"))
-            idx, value = F.col("cell")["0"], F.col("cell")["1"]
-        else:
-            # Position 0 is the loss marker, so positions run one ahead.
-            marked = F.concat(F.array(F.lit(0.0)), F.col("values"))
-            cells = per_example.select("residual", "loss", F.posexplode(marked))
-            idx, value = F.col("pos") + LOSS_ROW, F.col("col")
-        part = F.when(F.col("idx") == LOSS_ROW, F.col("loss")).otherwise(
-            F.col("residual") * F.col("v")
+        scored = self.scores.add({"z": weights})
+        cells = scored.select(*self._per_example, *self._inputs).selectExpr(
+            "residual", "loss", self._cells
         )
-        return (
-            cells.select("residual", "loss", idx.alias("idx"), value.alias("v"))
-            .groupBy("idx")
-            .agg(F.sum(part).alias("total"), F.count(F.lit(1)).alias("cells"))
+        # The dense marker is position 0, so dense positions run one ahead.
+        idx = "idx" if self.scores.examples.is_sparse else f"pos + {LOSS_ROW}"
+        part = f"if({idx} = {LOSS_ROW}, loss, residual * v)"
+        return cells.groupBy(F.expr(f"{idx} AS idx")).agg(
+            F.expr(f"sum({part}) AS total"), F.expr("count(1) AS cells")
         )
 
     def losses_along(
@@ -65,11 +56,10 @@ class Evaluation:
         Scores are linear in the step, so one pass serves all steps.
         """
         scored = self.scores.add({"z": weights, "dz": direction})
-        trials = scored.select(
-            "label", "z", "dz", F.posexplode(literal_array(steps)).alias("trial", "step")
+        trials = scored.selectExpr(
+            "label", "z", "dz", f"posexplode({number_array(steps)}) AS (trial, step)"
         )
-        moved = F.col("z") + F.col("step") * F.col("dz")
+        value = self._loss.value(F.col("label"), F.expr("z + step * dz"))
         return trials.groupBy("trial").agg(
-            F.sum(self.loss.value(F.col("label"), moved)).alias("total"),
-            F.count(F.lit(1)).alias("examples"),
+            F.sum(value).alias("total"), F.expr("count(1) AS examples")
         )

@@ -15,6 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fitframe.examples import Examples
+from fitframe.functions.arrays import number
 from fitframe.functions.losses import LOGISTIC, Loss
 from fitframe.operators.objective import initial_weights
 from fitframe.plans.evaluation import LOSS_ROW, Evaluation
@@ -35,6 +36,7 @@ TRACE_SCHEMA = T.StructType(
         T.StructField("improvement", T.DoubleType()),
         T.StructField("step", T.DoubleType()),
         T.StructField("trials", T.IntegerType(), False),
+        T.StructField("curvature", T.DoubleType()),
         T.StructField("accepted", T.BooleanType(), False),
     ]
 )
@@ -60,7 +62,11 @@ class FittedModel:
 
     @property
     def trace(self) -> DataFrame:
-        """``(iter, objective, improvement, step, trials, accepted)``."""
+        """``(iter, objective, improvement, step, trials, curvature, accepted)``.
+
+        ``curvature`` is the product of the step's two changes, iterate and
+        gradient. Row 0 is the start.
+        """
         return self.weights.sparkSession.createDataFrame(self.steps, TRACE_SCHEMA)
 
 
@@ -89,54 +95,52 @@ class _Training:
         if first is None:
             raise ValueError("no examples")
         self.num_examples = first["cells"]
-        empty = F.array().cast("array<double>")
-        loss_row = self.spark.range(1).select(
-            F.lit(LOSS_ROW).alias("idx"), F.lit(0.0).alias("v")
-        )
-        moved = weights.unionByName(loss_row).select(
-            "idx", F.col("v").alias("w"), F.lit(0.0).alias("old_g"), empty.alias("s"), empty.alias("t")
+        loss_row = self.spark.range(1).selectExpr(f"{LOSS_ROW} AS idx", "0D AS v")
+        moved = self._blocks(weights.unionByName(loss_row)).withColumnRenamed("v", "w")
+        empty = "cast(array() AS array<double>)"
+        state = moved.join(sums.df, "idx", "left").selectExpr(
+            "idx", "w", f"{self._gradient()} AS g", f"{empty} AS s", f"{empty} AS t"
         )
-        joined = self._blocks(moved).join(sums.df, "idx", "left")
-        state = joined.select("idx", "w", self._gradient().alias("g"), "s", "t")
         table = self.scratch.store(state, "state")
         self.scratch.discard(sums)
         rows = newest_products(table.df).collect()
-        history = PairHistory(self.num_corrections)
-        history.start(next(r["with_g"] for r in rows if r["pos"] == 0))
+        squared = next(r["with_g"] for r in rows if r["pos"] == 0)
+        history = PairHistory.at_start(self.num_corrections, squared)
         return _Iterate(table, history, self._value(rows))
 
     def step(self, at: _Iterate, coefficients: np.ndarray, length: float) -> _Iterate:
         """Evaluate at w + length * direction and store the state there."""
         move = combine(length * coefficients)
         state = self._blocks(at.table.df)
-        features = state.where(F.col("idx") != LOSS_ROW)
-        target = features.select("idx", (F.col("w") + move).alias("v"))
+        target = state.where(f"idx <> {LOSS_ROW}").selectExpr("idx", f"w + {move} AS v")
         sums = self.evaluation.sums(target)
         kept = min(at.history.num_pairs, self.num_corrections - 1)
-        first_kept = at.history.num_pairs - kept + 1
-        new_s = F.when(F.col("idx") == LOSS_ROW, F.lit(0.0)).otherwise(move)
-        moved = state.select(
-            "idx",
-            (F.col("w") + new_s).alias("w"),
-            F.col("g").alias("old_g"),
-            F.concat(F.slice("s", first_kept, kept), F.array(new_s)).alias("s"),
-            F.slice("t", first_kept, kept).alias("t"),
-        )
-        g = self._gradient()
-        joined = moved.join(sums, "idx", "left")
-        next_state = joined.select("idx", "w", g.alias("g"), "s", "t", "old_g").select(
-            "idx", "w", "g", "s", F.concat("t", F.array(F.col("g") - F.col("old_g"))).alias("t")
+        oldest = at.history.num_pairs - kept + 1
+        new_s = f"if(idx = {LOSS_ROW}, 0D, {move})"
+        moved = state.selectExpr(
+            "idx", "w AS old_w", "g AS old_g", "s", "t", f"{new_s} AS new_s"
+        ).selectExpr("*", "old_w + new_s AS w")
+        next_state = (
+            moved.join(sums, "idx", "left")
+            .selectExpr("*", f"{self._gradient()} AS g")
+            .selectExpr(
+                "idx",
+                "w",
+                "g",
+                f"concat(slice(s, {oldest}, {kept}), array(new_s)) AS s",
+                f"concat(slice(t, {oldest}, {kept}), array(g - old_g)) AS t",
+            )
         )
         table = self.scratch.store(next_state, "state")
         rows = newest_products(table.df).collect()
         return _Iterate(table, at.history.extended(rows), self._value(rows))
 
     def search(self, at: _Iterate, coefficients: np.ndarray, slope: float):
-        features = at.table.df.where(F.col("idx") != LOSS_ROW)
+        features = at.table.df.where(f"idx <> {LOSS_ROW}")
         return first_acceptable(
             self.evaluation,
-            features.select("idx", F.col("w").alias("v")),
-            features.select("idx", combine(coefficients).alias("v")),
+            features.selectExpr("idx", "w AS v"),
+            features.selectExpr("idx", f"{combine(coefficients)} AS v"),
             self.reg,
             at.value,
             slope,
@@ -145,11 +149,11 @@ class _Training:
     def discard(self, iterate: _Iterate) -> None:
         self.scratch.discard(iterate.table)
 
-    def _gradient(self):
+    def _gradient(self) -> str:
         """Gradient from the sums; the loss row keeps its sum as it is."""
-        total = F.coalesce(F.col("total"), F.lit(0.0))
-        mean = total / F.lit(float(self.num_examples)) + F.lit(self.reg) * F.col("w")
-        return F.when(F.col("idx") == LOSS_ROW, total).otherwise(mean)
+        total = "coalesce(total, 0D)"
+        mean = f"{total} / {number(float(self.num_examples))} + {number(self.reg)} * w"
+        return f"if(idx = {LOSS_ROW}, {total}, {mean})"
 
     def _value(self, rows: list) -> float:
         loss = next(r["with_g"] for r in rows if r["pos"] == LOSS_ROW)
@@ -207,7 +211,7 @@ def fit(
 
 def _run(training, num_iters, tol, initial, compute_last) -> FittedModel:
     at = training.start(initial)
-    steps = [(0, at.value, None, None, 1, True)]
+    steps = [(0, at.value, None, None, 1, None, True)]
     number = 0
     while True:
         if number == num_iters - 1 and not compute_last:
@@ -240,8 +244,11 @@ def _run(training, num_iters, tol, initial, compute_last) -> FittedModel:
 
         number += 1
         improvement = at.value - after.value
-        reason = _rejection(after, number, num_iters, improvement, tol)
-        steps.append((number, after.value, improvement, length, trials, reason is None))
+        curvature = after.history.curvature(after.history.num_pairs - 1)
+        reason = _rejection(after.value, curvature, number, num_iters, improvement, tol)
+        steps.append(
+            (number, after.value, improvement, length, trials, curvature, reason is None)
+        )
         if reason is not None:
             training.discard(after)
             break
@@ -252,10 +259,11 @@ def _run(training, num_iters, tol, initial, compute_last) -> FittedModel:
     return FittedModel(weights, at.value, reason, steps)
 
 
-def _rejection(after: _Iterate, number: int, num_iters: int, improvement: float, tol: float):
+def _rejection(
+    value: float, curvature: float, number: int, num_iters: int, improvement: float, tol: float
+) -> str | None:
     """Why the step just taken is discarded, or None if it stands."""
-    curvature = after.history.curvature(after.history.num_pairs - 1)
-    if math.isnan(after.value):
+    if math.isnan(value):
         return "nan_objective"
     if curvature < 0 or math.isnan(curvature):
         return "bad_curvature"

@@ -14,20 +14,19 @@ coefficients, a few hundred numbers, are on the driver.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from fitframe.functions.arrays import dense_dot, literal_array
+from fitframe.functions.arrays import dense_dot, number_array
 from fitframe.plans.evaluation import LOSS_ROW
 
 
-def basis() -> Column:
-    """The vectors that directions are made of, as one array per feature."""
-    return F.concat("s", "t", F.array("g"))
+# The vectors that directions are made of, as one array per feature.
+BASIS = "concat(s, t, array(g))"
 
 
-def combine(coefficients: np.ndarray) -> Column:
+def combine(coefficients: np.ndarray) -> str:
     """One combination of the basis, row by row."""
-    return dense_dot(basis(), literal_array(coefficients))
+    return dense_dot(BASIS, number_array(coefficients))
 
 
 def newest_products(state: DataFrame) -> DataFrame:
@@ -38,23 +37,19 @@ def newest_products(state: DataFrame) -> DataFrame:
     vectors among themselves are known from earlier steps. At ``LOSS_ROW``,
     ``with_g`` is the summed loss.
     """
-    is_loss = F.col("idx") == LOSS_ROW
-    everything = F.when(is_loss, F.array(F.lit(1.0))).otherwise(
-        F.concat("s", "t", F.array("g", "w"))
-    )
-    cells = state.select(
-        is_loss.alias("is_loss"),
-        F.try_element_at("s", F.lit(-1)).alias("new_s"),
-        F.try_element_at("t", F.lit(-1)).alias("new_t"),
+    cells = state.selectExpr(
+        f"idx = {LOSS_ROW} AS is_loss",
+        "try_element_at(s, -1) AS new_s",
+        "try_element_at(t, -1) AS new_t",
         "g",
         "w",
-        F.posexplode(everything).alias("place", "v"),
-    ).withColumn("pos", F.when(F.col("is_loss"), F.lit(LOSS_ROW)).otherwise(F.col("place")))
-    return cells.groupBy("pos").agg(
-        F.sum(F.col("v") * F.col("new_s")).alias("with_s"),
-        F.sum(F.col("v") * F.col("new_t")).alias("with_t"),
-        F.sum(F.col("v") * F.col("g")).alias("with_g"),
-        F.sum(F.col("v") * F.col("w")).alias("with_w"),
+        f"posexplode(if(idx = {LOSS_ROW}, array(1D), concat({BASIS}, array(w)))) AS (place, v)",
+    )
+    return cells.groupBy(F.expr(f"if(is_loss, {LOSS_ROW}, place) AS pos")).agg(
+        F.expr("sum(v * new_s) AS with_s"),
+        F.expr("sum(v * new_t) AS with_t"),
+        F.expr("sum(v * g) AS with_g"),
+        F.expr("sum(v * w) AS with_w"),
     )
 
 
@@ -67,9 +62,22 @@ class PairHistory:
         # Products among s_0 .. s_k-1, t_0 .. t_k-1, g, in this order.
         self.products = np.zeros((1, 1))
 
-    def start(self, gradient_squared: float) -> None:
-        self.num_pairs = 0
-        self.products = np.array([[gradient_squared]])
+    @staticmethod
+    def at_start(limit: int, gradient_squared: float) -> "PairHistory":
+        history = PairHistory(limit)
+        history.products = np.array([[gradient_squared]])
+        return history
+
+    @staticmethod
+    def from_gram(num_pairs: int, rows: list) -> "PairHistory":
+        """From the products ``(i, j, v)`` of all columns of [S | T | g]."""
+        history = PairHistory(num_pairs)
+        history.num_pairs = num_pairs
+        history.products = np.zeros((2 * num_pairs + 1, 2 * num_pairs + 1))
+        for row in rows:
+            history.products[row["i"], row["j"]] = row["v"]
+            history.products[row["j"], row["i"]] = row["v"]
+        return history
 
     def extended(self, rows: list) -> "PairHistory":
         """The history after a step, from that step's ``newest_products``."""
@@ -92,10 +100,6 @@ class PairHistory:
                     result.products[place, row["pos"]] = row[column]
         return result
 
-    @property
-    def gradient_squared(self) -> float:
-        return float(self.products[-1, -1])
-
     def curvature(self, pair: int) -> float:
         """s . t of a pair."""
         return float(self.products[pair, self.num_pairs + pair])

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from fitframe.functions.arrays import number, number_array
 from fitframe.plans.evaluation import Evaluation
 
 # Fixed values of the method.
@@ -36,17 +37,17 @@ def losses_at_steps(
 ) -> DataFrame:
     """``(trial, value)``: the objective at weights + step * direction."""
     pairs = weights.join(direction.withColumnRenamed("v", "d"), "idx")
-    w, d = F.col("v"), F.col("d")
     squares = pairs.agg(
-        F.struct(F.sum(w * w).alias("ww"), F.sum(w * d).alias("wd"), F.sum(d * d).alias("dd"))
+        F.expr("struct(sum(v * v) AS ww, sum(v * d) AS wd, sum(d * d) AS dd)")
     ).scalar()
     totals = evaluation.losses_along(weights, direction, steps)
-    step = F.element_at(F.array(*[F.lit(float(a)) for a in steps]), F.col("trial") + 1)
-    length = squares["ww"] + 2 * step * squares["wd"] + step * step * squares["dd"]
+    step = f"element_at({number_array(steps)}, trial + 1)"
     return totals.select(
+        "trial", F.expr(f"{step} AS step"), F.expr("total / examples AS mean"), squares.alias("sq")
+    ).selectExpr(
         "trial",
-        step.alias("step"),
-        (F.col("total") / F.col("examples") + F.lit(reg / 2) * length).alias("value"),
+        "step",
+        f"mean + {number(reg / 2)} * (sq.ww + 2 * step * sq.wd + step * step * sq.dd) AS value",
     )
 
 
