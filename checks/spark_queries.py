@@ -83,7 +83,7 @@ def feature_count(spark, sf_dir):
 
 
 def examples_onehot(spark, sf_dir):
-    return t.order_examples(spark, sf_dir).entries().select("row_id", "idx", rounded("v"))
+    return t.order_examples(spark, sf_dir).entries().select("row_id", "idx", rounded("v", 8))
 
 
 def dense_row(spark, sf_dir):
@@ -389,9 +389,10 @@ def auc(spark, sf_dir):
 
 
 def auc_bands(spark, sf_dir):
-    """Exact scores, cut into many bands."""
-    examples = t.order_examples(spark, sf_dir)
-    scored = score(examples, t.ramp(spark, t.ONEHOT_FEATURES))
+    """Many distinct scores, cut into bands."""
+    weights = t.ramp(spark, t.ONEHOT_FEATURES).selectExpr("idx", "v + 0.01D AS v")
+    scored = score(t.order_examples(spark, sf_dir), weights)
+    scored = scored.select("label", F.round("score", 6).alias("score"))
     return RankingCurve(scored, band_scores=1000).area().select(
         rounded("auc", 8), "positives", "negatives"
     )

@@ -243,7 +243,7 @@ ORACLES = {
     "libsvm_load": f"""WITH {EMB} SELECT y AS label, idx, count(*) AS n, {r("sum(v)")} AS total,
         {EMBEDDING_SIZE}::int AS num_features FROM emb GROUP BY y, idx""",
     "feature_count": "SELECT max(len(embedding))::int AS num_features FROM embeddings",
-    "examples_onehot": f"WITH {ORDER_CELLS} SELECT row_id, idx::int AS idx, {r('v')} AS v FROM entries",
+    "examples_onehot": f"WITH {ORDER_CELLS} SELECT row_id, idx::int AS idx, {r('v', 8)} AS v FROM entries",
     "dense_row": f"WITH {EMB} SELECT vec_id, idx, {r('v')} AS v FROM emb",
     "initial_weights": f"""WITH {MEANS} SELECT idx, {r("greatest(v, 0.0::double)")} AS v
         FROM means WHERE col = 0""",
@@ -315,8 +315,9 @@ ORACLES = {
         CASE WHEN {sigmoid("z")} > 0.5::double THEN 1.0::double ELSE 0.0::double END AS prediction
         FROM scored WHERE {SPLIT_HASH.format(key="vec_id")} >= 0.6::double""",
     "auc": f"WITH {LINE_SCORED}, {CURVE} {AREA}",
-    "auc_bands": f"""WITH {ORDER_SCORED.replace("scored AS", "linear AS")},
-        scored AS (SELECT y, {sigmoid("z")} AS s FROM linear), {CURVE} {AREA}""",
+    "auc_bands": f"""WITH {ORDER_CELLS}, linear AS (
+        SELECT any_value(y) AS y, sum(v * (idx + 1) * 0.01::double) AS z FROM entries GROUP BY row_id),
+        scored AS (SELECT y, round({sigmoid("z")}, 6) AS s FROM linear), {CURVE} {AREA}""",
     "roc_points": f"""WITH {LINE_SCORED}, {CURVE} SELECT {r("s")} AS threshold,
         {r("fp / n")} AS fpr, {r("tp / p")} AS tpr FROM curve, totals""",
     "end_to_end": embedding_job(),

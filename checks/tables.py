@@ -11,7 +11,6 @@ from fitframe import (
     examples_from_arrays,
     examples_from_columns,
 )
-from fitframe.sources import libsvm_lines
 
 # Fixed values of the source tables.
 EMBEDDING_SIZE = 64
@@ -41,20 +40,19 @@ def embedding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Labels -1, 0, 1, 2; doubled and leading blanks; text behind a second colon;
     and for every tenth vector a comment and a blank line besides.
     """
-    examples = embedding_examples(spark, sf_dir)
-    text = libsvm_lines(examples).selectExpr("vec_id", "substring_index(value, ' ', 1) AS y", "value")
-    items = "substring(value, length(y) + 2)"
+    embeddings = read(spark, sf_dir, "embeddings")
     negative = "if(vec_id % 2 = 0, '-1', '0')"
     positive = "if(vec_id % 2 = 0, '1', '2')"
-    lines = text.selectExpr(
+    items = "transform(embedding, (v, i) -> concat(i + 1, ':', cast(v AS double)))"
+    lines = embeddings.selectExpr(
         "vec_id",
         f"""concat(if(vec_id % 5 = 0, '   ', ''),
-                   if(cast(y AS double) > 0, {positive}, {negative}),
+                   if(label >= 5, {positive}, {negative}),
                    ' ',
-                   if(vec_id % 3 = 0, replace({items}, ' ', '  '), {items}),
+                   array_join({items}, if(vec_id % 3 = 0, '  ', ' ')),
                    if(vec_id % 7 = 0, ':note', '')) AS value""",
     )
-    every_tenth = lines.where("vec_id % 10 = 0")
+    every_tenth = embeddings.where("vec_id % 10 = 0")
     comments = every_tenth.selectExpr("vec_id", "concat('# vector ', vec_id) AS value")
     blanks = every_tenth.selectExpr("vec_id", "'   ' AS value")
     return lines.unionByName(comments).unionByName(blanks)

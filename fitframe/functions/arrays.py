@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -30,10 +32,28 @@ def sparse_dot(indices: str, values: str, w: str) -> str:
 
 
 def to_dense(indices: str, values: str, num_features: int) -> Column:
-    """Sparse arrays to one array of ``num_features`` doubles; repeats add up."""
-    hits = f"zip_with({indices}, {values}, (i, v) -> if(i = cell, v, 0D))"
-    cell = f"aggregate({hits}, 0D, (total, v) -> total + v)"
-    return F.expr(f"transform(sequence(0, {num_features - 1}), cell -> {cell})")
+    """Sparse arrays to one array of ``num_features`` doubles; repeats add up.
+
+    Indices outside the range are left out. One scatter per Arrow batch: array
+    lambdas would search all stored cells for each of the features.
+    """
+
+    @F.arrow_udf("array<double>")
+    def scatter(index_lists: pa.Array, value_lists: pa.Array) -> pa.Array:
+        num_rows = len(index_lists)
+        index = index_lists.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(num_rows), index_lists.value_lengths().to_numpy(zero_copy_only=False))
+        value = value_lists.flatten().to_numpy(zero_copy_only=False)
+        inside = (index >= 0) & (index < num_features)
+        dense = np.bincount(
+            row[inside] * num_features + index[inside],
+            weights=value[inside],
+            minlength=num_rows * num_features,
+        )
+        offsets = np.arange(num_rows + 1, dtype="int32") * num_features
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(dense))
+
+    return scatter(F.col(indices), F.col(values))
 
 
 def number(x: float) -> str:

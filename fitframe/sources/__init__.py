@@ -1,7 +1,6 @@
 from fitframe.sources.libsvm import (
     binary_label,
     infer_num_features,
-    libsvm_lines,
     num_features_frame,
     parse_libsvm,
     read_libsvm,
@@ -18,7 +17,6 @@ __all__ = [
     "examples_from_arrays",
     "examples_from_columns",
     "infer_num_features",
-    "libsvm_lines",
     "num_features_frame",
     "parse_libsvm",
     "read_libsvm",

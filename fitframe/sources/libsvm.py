@@ -10,7 +10,7 @@ from fitframe.examples import Examples
 COMMENT_MARK = "#"
 ITEM_SEPARATOR = " "
 PAIR_SEPARATOR = ":"
-EDGE_BLANKS = r"^[\x00-\x20]+|[\x00-\x20]+$"  # blanks and control characters
+BLANKS = "".join(chr(code) for code in range(33))  # trimmed off both ends of a line
 
 
 def binary_label(label: Column) -> Column:
@@ -22,48 +22,45 @@ def parse_libsvm(lines: DataFrame, column: str = "value", mode: str = "failfast"
     """Replace a text column by ``label, indices, values``; keep the others.
 
     Blank lines and lines that start with ``#`` are dropped. A line with a bad
-    label, index or value fails the job (``mode='failfast'``) or is left out
-    (``mode='drop'``).
+    label, index or value fails the job that reads it (``mode='failfast'``) or
+    is left out (``mode='drop'``).
     """
     if mode not in ("failfast", "drop"):
         raise ValueError(f"mode must be 'failfast' or 'drop', not {mode!r}")
     kept = [c for c in lines.columns if c != column]
-
-    line = F.regexp_replace(F.col(column), EDGE_BLANKS, "")
-    trimmed = lines.select(*kept, line.alias("_line")).where(
-        (F.col("_line") != "") & ~F.startswith("_line", F.lit(COMMENT_MARK))
-    )
-    items = F.split("_line", ITEM_SEPARATOR)
-    pairs = F.transform(
-        F.filter(F.slice(items, 2, F.size(items)), lambda item: item != ""),
-        lambda item: F.split(item, PAIR_SEPARATOR),
-    )
-    parsed = trimmed.select(
-        *kept,
-        "_line",
-        F.get(items, F.lit(0)).try_cast("double").alias("_label"),
-        pairs.alias("_pairs"),
-    ).select(
+    trimmed = lines.select(*kept, F.btrim(F.col(column), F.lit(BLANKS)).alias("_line"))
+    items = f"split(_line, '{ITEM_SEPARATOR}')"
+    pairs = f"filter(slice({items}, 2, size({items})), item -> item <> '')"
+    tokens = trimmed.where(f"_line <> '' AND NOT startswith(_line, '{COMMENT_MARK}')").selectExpr(
         *kept,
-        "_line",
-        "_label",
-        F.transform("_pairs", lambda p: F.get(p, F.lit(0)).try_cast("int") - 1).alias("indices"),
-        F.transform("_pairs", lambda p: F.get(p, F.lit(1)).try_cast("double")).alias("values"),
-    )
-    well_formed = (
-        F.col("_label").isNotNull()
-        & F.forall("indices", lambda i: F.coalesce(i >= 0, F.lit(False)))
-        & F.forall("values", lambda v: v.isNotNull())
+        f"{items}[0] AS _label",
+        f"transform({pairs}, item -> split(item, '{PAIR_SEPARATOR}')) AS _pairs",
     )
+
+    label = "try_cast(_label AS double)"
+    index = "try_cast(get(p, 0) AS int)"
+    value = "try_cast(get(p, 1) AS double)"
     if mode == "failfast":
-        # In the filter, so that column pruning cannot skip the check.
-        message = F.concat(F.lit("not a LibSVM line: "), F.col("_line"))
-        well_formed = F.when(well_formed, F.lit(True)).otherwise(
-            F.raise_error(message).cast("boolean")
-        )
-    return parsed.where(well_formed).select(
-        *kept, binary_label(F.col("_label")).alias("label"), "indices", "values"
+        label = _or_fail(label, "double", "label", "_label")
+        index = _or_fail(f"if({index} >= 1, {index}, NULL)", "int", "item", "array_join(p, ':')")
+        value = _or_fail(value, "double", "item", "array_join(p, ':')")
+    parsed = tokens.selectExpr(
+        *kept,
+        f"{label} AS _label",
+        f"transform(_pairs, p -> {index} - 1) AS indices",
+        f"transform(_pairs, p -> {value}) AS values",
     )
+    if mode == "drop":
+        parsed = parsed.where(
+            """_label IS NOT NULL AND forall(indices, i -> coalesce(i >= 0, false))
+               AND forall(values, v -> v IS NOT NULL)"""
+        )
+    return parsed.select(*kept, binary_label(F.col("_label")).alias("label"), "indices", "values")
+
+
+def _or_fail(expression: str, type_name: str, what: str, text: str) -> str:
+    failure = f"raise_error(concat('not a LibSVM {what}: ', {text}))"
+    return f"coalesce({expression}, cast({failure} AS {type_name}))"
 
 
 def infer_num_features(parsed: DataFrame) -> int:
@@ -95,19 +92,3 @@ def read_libsvm(
     if num_features is None or num_features <= 0:
         num_features = infer_num_features(parsed)
     return Examples(parsed, num_features)
-
-
-def libsvm_lines(examples: Examples, column: str = "value") -> DataFrame:
-    """Examples back to text lines (zero-based indices become one-based)."""
-    if examples.is_sparse:
-        pairs = F.arrays_zip("indices", "values")
-        items = F.transform(
-            pairs, lambda c: F.concat_ws(PAIR_SEPARATOR, c["indices"] + 1, c["values"])
-        )
-    else:
-        items = F.transform(
-            "values", lambda v, i: F.concat_ws(PAIR_SEPARATOR, i + 1, v)
-        )
-    text = F.concat_ws(ITEM_SEPARATOR, F.col("label"), items)
-    others = [c for c in examples.df.columns if c not in ("label", "indices", "values")]
-    return examples.df.select(*others, text.alias(column))
