@@ -74,14 +74,18 @@ class JoinScores:
             stored = scratch.store(numbered, "examples").df
             examples = Examples(stored, examples.num_features, "_row_id")
         self._held = []
-        rows = self._hold(examples.df.repartition(parts, examples.id_col), storage)
+        # Sorted, so that no join with the cached layouts sorts them again.
+        id_col = examples.id_col
+        by_row = examples.df.repartition(parts, id_col).sortWithinPartitions(id_col)
+        rows = self._hold(by_row, storage)
         self.examples = examples.with_df(rows)
         cells = self.examples.entries()
         total = rows.agg(F.sum(F.size("values"))).first()[0] or 0
         counts = cells.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
         self._hot = scratch.store(hot_keys(counts, "idx", total, parts), "hot").df
         tagged = split_hot(cells, self._hot, "idx", F.col("row_id"))
-        self._cells = self._hold(tagged.repartition(parts, "idx", "piece"), storage)
+        by_feature = tagged.repartition(parts, "idx", "piece").sortWithinPartitions("idx", "piece")
+        self._cells = self._hold(by_feature, storage)
 
     def _hold(self, df: DataFrame, storage: StorageLevel | None) -> DataFrame:
         if storage is None:

@@ -32,24 +32,27 @@ def test_scan_reads_only_the_features(spark, small):
     }
 
 
-def test_cached_layouts_are_not_shuffled_again(spark, small):
-    examples = tables.order_examples(spark, small)
-    scores = JoinScores(examples, storage=StorageLevel.MEMORY_AND_DISK)
-    scored = scores.add({"z": tables.ramp(spark, tables.ONEHOT_FEATURES)})
-    rows = scored.collect()
-    text = plan(scored)
-    scores.close()
-    assert len(rows) == examples.df.count()
-    # The weights, their broadcast hot keys and the partial scores move; cells
-    # and examples are read where they are.
-    final = text[: text.index("Initial Plan")] if "Initial Plan" in text else text
-    above_cache = "\n".join(
-        line for line in final.splitlines() if "InMemoryRelation" not in line
-    )
-    assert "RoundRobin" not in above_cache
-    for scan in re.finditer(r"\n([^\n]*)InMemoryTableScan", final):
-        before = final[: scan.start()].splitlines()[-1]
-        assert "Exchange" not in before
+def test_cached_layouts_are_neither_shuffled_nor_sorted_again(spark, small):
+    settings = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for setting in settings:
+        spark.conf.set(setting, "-1")  # as with weights that are too long to send
+    try:
+        examples = tables.order_examples(spark, small)
+        scores = JoinScores(examples, storage=StorageLevel.MEMORY_AND_DISK)
+        scored = scores.add({"z": tables.ramp(spark, tables.ONEHOT_FEATURES)})
+        assert len(scored.collect()) == examples.df.count()
+        final = plan(scored).split("Initial Plan")[0].splitlines()
+        scores.close()
+    finally:
+        for setting in settings:
+            spark.conf.unset(setting)
+    assert sum("SortMergeJoin" in line for line in final) >= 1
+    stages = [i for i, line in enumerate(final) if "TableCacheQueryStage" in line]
+    assert stages
+    for i in stages[:1]:  # the examples; only a projection may lie between
+        above = [line for line in final[:i] if "SortMergeJoin" in line][-1]
+        between = final[final.index(above) + 1 : i]
+        assert not any("Exchange" in line or "Sort " in line for line in between)
 
 
 def test_layout_by_size(spark, small):
