@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
 @dataclass(frozen=True)
@@ -27,18 +27,18 @@ class Examples:
     def with_df(self, df: DataFrame) -> "Examples":
         return replace(self, df=df)
 
-    def entries(self) -> DataFrame:
-        """Long form ``(row_id, idx, v)`` of the stored cells."""
+    def numbered_entries(self) -> DataFrame:
+        """Long form ``(row_id, k, idx, v)``: the k-th stored cell of a row."""
         if self.id_col is None:
-            raise ValueError("entries() needs examples with an id_col")
-        row_id = F.col(self.id_col).alias("row_id")
+            raise ValueError("long form needs examples with an id_col")
+        row_id = f"`{self.id_col}` AS row_id"
         if self.is_sparse:
-            cells = self.df.select(
-                row_id, F.explode(F.arrays_zip("indices", "values")).alias("cell")
-            )
-            return cells.select(
-                "row_id",
-                F.col("cell.indices").alias("idx"),
-                F.col("cell.values").alias("v"),
-            )
-        return self.df.select(row_id, F.posexplode("values").alias("idx", "v"))
+            cells = self.df.selectExpr(row_id, "posexplode(arrays_zip(indices, values)) AS (k, cell)")
+            return cells.selectExpr("row_id", "k", "cell.indices AS idx", "cell.values AS v")
+        return self.df.selectExpr(row_id, "posexplode(values) AS (k, v)").selectExpr(
+            "row_id", "k", "k AS idx", "v"
+        )
+
+    def entries(self) -> DataFrame:
+        """Long form ``(row_id, idx, v)`` of the stored cells."""
+        return self.numbered_entries().drop("k")

@@ -1,8 +1,8 @@
 """Two ways to give every example its linear scores.
 
 ``BroadcastScores`` sends the packed vector to the executors and needs no
-shuffle; it serves vectors up to a size bound. ``JoinScores`` keeps the vector
-in a table and joins it to the cells, for feature spaces of any size.
+shuffle; it serves vectors up to a size bound. ``JoinScores`` joins the vector
+to the cells where that bound is passed, for feature spaces of any size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from fitframe.examples import Examples
 from fitframe.functions.arrays import dense_dot, packed_vector, short_dot, sparse_dot
-from fitframe.plans.hotkeys import copy_to_pieces, hot_keys, split_hot
 from fitframe.plans.scratch import Scratch
 
 # Longest vector sent whole to executors: one million doubles are 8 MB.
@@ -51,70 +50,118 @@ class BroadcastScores:
 
 
 class JoinScores:
-    """Cells laid out by feature and examples laid out by id.
+    """For feature spaces of any size: frequent features sent, the others joined.
 
-    With a storage level both layouts are cached, and per evaluation only the
-    vector and the partial scores are shuffled; without one (a single use) they
-    are shuffled too. Features that fill more than one partition's share of the
-    cells are split.
+    Most cells usually belong to few features. The most frequent ones, up to the
+    same size bound, are packed like a short vector and need no shuffle; only
+    cells of the remaining features are joined with the weights, and only their
+    partial scores are shuffled. Every feature with more cells than an even
+    partition's share is among the frequent ones (see ``frequent_features``), so
+    the join has no hot keys.
+
+    With a storage level both layouts are cached and stay where they are from
+    one evaluation to the next.
     """
 
     def __init__(
         self,
         examples: Examples,
+        broadcast_features: int = BROADCAST_FEATURES,
         num_partitions: int | None = None,
         storage: StorageLevel | None = None,
     ):
         spark = examples.df.sparkSession
-        scratch = Scratch(spark)
         parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        scratch = Scratch(spark)
         if examples.id_col is None:
             # Generated ids must be the same in both layouts: store them once.
             numbered = examples.df.withColumn("_row_id", F.monotonically_increasing_id())
             stored = scratch.store(numbered, "examples").df
             examples = Examples(stored, examples.num_features, "_row_id")
-        self._held = []
-        # Sorted, so that no join with the cached layouts sorts them again.
         id_col = examples.id_col
-        by_row = examples.df.repartition(parts, id_col).sortWithinPartitions(id_col)
-        rows = self._hold(by_row, storage)
+
+        counts = examples.entries().groupBy("idx").agg(F.expr("count(1) AS n"))
+        counts = scratch.store(counts, "feature-counts").df
+        frequent = frequent_features(counts, max(broadcast_features, 2 * parts))
+        self._frequent = scratch.store(frequent, "frequent-features").df
+        self._num_frequent = self._frequent.count()
+
+        # The size bound of the frequent features makes this broadcast safe.
+        cells = examples.numbered_entries().join(F.broadcast(self._frequent), "idx", "left")
+        rare = cells.where("place IS NULL").select("row_id", "idx", "v")
+        places = cells.groupBy(F.col("row_id").alias(id_col)).agg(
+            F.expr(
+                """transform(sort_array(collect_list(struct(k, coalesce(place, -1) AS place))),
+                             c -> c.place) AS _places"""
+            )
+        )
+        rows = examples.df.join(places, id_col, "left")
+        # Sorted, so that no join with the cached layouts sorts them again.
+        rows = rows.repartition(parts, id_col).sortWithinPartitions(id_col)
+        rare = rare.repartition(parts, "idx").sortWithinPartitions("idx")
+        self._columns = examples.df.columns
+        self._held = [rows, rare] if storage is not None else []
+        for layout in self._held:
+            layout.persist(storage)
+        self._rare = rare
         self.examples = examples.with_df(rows)
-        cells = self.examples.entries()
-        total = rows.agg(F.sum(F.size("values"))).first()[0] or 0
-        counts = cells.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
-        self._hot = scratch.store(hot_keys(counts, "idx", total, parts), "hot").df
-        tagged = split_hot(cells, self._hot, "idx", F.col("row_id"))
-        by_feature = tagged.repartition(parts, "idx", "piece").sortWithinPartitions("idx", "piece")
-        self._cells = self._hold(by_feature, storage)
-
-    def _hold(self, df: DataFrame, storage: StorageLevel | None) -> DataFrame:
-        if storage is None:
-            return df
-        self._held.append(df)
-        return df.persist(storage)
 
     def add(self, vectors: dict[str, DataFrame]) -> DataFrame:
         """As ``BroadcastScores.add``; features missing from a vector count as 0."""
-        lookup = None
+        rows, id_col = self.examples.df, self.examples.id_col
+        lookup, packed = None, []
         for name, vector in vectors.items():
             column = vector.selectExpr("idx", f"v AS _{name}")
             lookup = column if lookup is None else lookup.join(column, "idx", "full")
-        copies = copy_to_pieces(lookup, self._hot, "idx")
-        rows, id_col = self.examples.df, self.examples.id_col
+            placed = self._frequent.join(vector, "idx", "left").selectExpr(
+                "place AS idx", "coalesce(v, 0D) AS v"
+            )
+            packed.append(packed_vector(placed, self._num_frequent).alias(f"_packed_{name}"))
         partial = (
-            self._cells.join(copies, ["idx", "piece"])
+            self._rare.join(lookup, "idx")
             .groupBy(F.col("row_id").alias(id_col))
-            .agg(*[F.expr(f"sum(v * _{name}) AS _{name}") for name in vectors])
+            .agg(*[F.expr(f"sum(v * _{name}) AS _rare_{name}") for name in vectors])
+        )
+        # Examples without rare features have no partial score, those without
+        # any cell no places: their share is 0.
+        scores = [
+            f"""coalesce({sparse_dot("_places", "values", f"_packed_{name}")}, 0D)
+                + coalesce(_rare_{name}, 0D) AS {name}"""
+            for name in vectors
+        ]
+        return (
+            rows.join(partial, id_col, "left")
+            .select("*", *packed)
+            .selectExpr(*self._columns, *scores)
         )
-        # Examples without any cell have no partial score: theirs is 0.
-        scores = [f"coalesce(_{name}, 0D) AS {name}" for name in vectors]
-        return rows.join(partial, id_col, "left").selectExpr(*rows.columns, *scores)
 
     def close(self) -> None:
         for held in self._held:
             held.unpersist()
 
 
+def frequent_features(counts: DataFrame, limit: int) -> DataFrame:
+    """``(idx, place)`` for at most ``limit`` features, the most frequent ones.
+
+    ``counts`` is ``(idx, n)``. The cut is at a power of two, so it needs only
+    the number of features per count length in bits. With a limit of twice the
+    partitions, no feature above an even partition's share s of the cells is
+    missed: less than 2 * partitions features can have s / 2 cells or more.
+    """
+    bits = "char_length(bin(n))"
+    sizes = counts.groupBy(F.expr(f"{bits} AS bits")).agg(F.expr("count(1) AS features"))
+    taken, cut = 0, 65
+    for row in sorted(sizes.collect(), key=lambda r: -r["bits"]):  # 64 rows at most
+        taken += row["features"]
+        if taken > limit:
+            break
+        cut = row["bits"]
+    # The window holds no more than ``limit`` rows.
+    return counts.where(f"{bits} >= {cut}").selectExpr(
+        "idx", "cast(row_number() OVER (ORDER BY idx) - 1 AS int) AS place"
+    )
+
+
 def scores_for(
     examples: Examples,
     broadcast_features: int = BROADCAST_FEATURES,
@@ -124,4 +171,4 @@ def scores_for(
     """Broadcast up to ``broadcast_features``, join beyond."""
     if examples.num_features <= broadcast_features:
         return BroadcastScores(examples)
-    return JoinScores(examples, num_partitions, storage)
+    return JoinScores(examples, broadcast_features, num_partitions, storage)

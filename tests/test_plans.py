@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from fitframe import LOGISTIC
 from fitframe.plans.evaluation import Evaluation
-from fitframe.plans.hotkeys import copy_to_pieces, hot_keys, split_hot
-from fitframe.plans.scoring import BroadcastScores, JoinScores, scores_for
+from fitframe.plans.scoring import BroadcastScores, JoinScores, frequent_features, scores_for
 from fitframe.plans.scratch import Scratch, shared_folder
 
 from checks import tables
@@ -38,21 +37,21 @@ def test_cached_layouts_are_neither_shuffled_nor_sorted_again(spark, small):
         spark.conf.set(setting, "-1")  # as with weights that are too long to send
     try:
         examples = tables.order_examples(spark, small)
-        scores = JoinScores(examples, storage=StorageLevel.MEMORY_AND_DISK)
+        scores = JoinScores(examples, 0, storage=StorageLevel.MEMORY_AND_DISK)
         scored = scores.add({"z": tables.ramp(spark, tables.ONEHOT_FEATURES)})
         assert len(scored.collect()) == examples.df.count()
-        final = plan(scored).split("Initial Plan")[0].splitlines()
+        final = plan(scored).split("\n+- == Initial Plan ==")[0].splitlines()
         scores.close()
     finally:
         for setting in settings:
             spark.conf.unset(setting)
-    assert sum("SortMergeJoin" in line for line in final) >= 1
-    stages = [i for i, line in enumerate(final) if "TableCacheQueryStage" in line]
-    assert stages
-    for i in stages[:1]:  # the examples; only a projection may lie between
-        above = [line for line in final[:i] if "SortMergeJoin" in line][-1]
-        between = final[final.index(above) + 1 : i]
-        assert not any("Exchange" in line or "Sort " in line for line in between)
+    joins = [i for i, line in enumerate(final) if "SortMergeJoin" in line]
+    scans = [i for i, line in enumerate(final) if "InMemoryTableScan" in line]
+    assert len(scans) >= 2 and joins
+    # The examples and the rare cells are the first inputs of their joins.
+    for scan in scans[:2]:
+        join = max(i for i in joins if i < scan)
+        assert not any("Exchange" in line or "Sort " in line for line in final[join + 1 : scan])
 
 
 def test_layout_by_size(spark, small):
@@ -61,21 +60,30 @@ def test_layout_by_size(spark, small):
     assert isinstance(scores_for(examples, broadcast_features=35), JoinScores)
 
 
-def test_hot_keys_are_split_evenly(spark):
-    """One key holds a third of all rows."""
-    rows = spark.range(30_000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(-5)).otherwise(F.col("id")).alias("key"),
-        F.col("id").alias("other"),
-    )
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, "key", 30_000, 12)
-    assert [tuple(r) for r in hot.collect()] == [(-5, 4)]
-    pieces = split_hot(rows, hot, "key", F.col("other"))
-    sizes = {r["piece"]: r["n"] for r in pieces.where("key = -5").groupBy("piece").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert sorted(sizes) == [0, 1, 2, 3] and max(sizes.values()) < 2700
-    lookup = counts.select("key", F.lit(1).alias("one"))
-    joined = pieces.join(copy_to_pieces(lookup, hot, "key"), ["key", "piece"])
-    assert joined.agg(F.sum("one")).first()[0] == 30_000
+def frequent(spark, counts, limit):
+    df = spark.createDataFrame(list(enumerate(counts)), "idx int, n long")
+    rows = frequent_features(df, limit).orderBy("place").collect()
+    assert [r["place"] for r in rows] == list(range(len(rows)))
+    return [r["idx"] for r in rows]
+
+
+def test_frequent_features(spark):
+    counts = [1000, 3, 700, 5, 1, 100, 0, 2**40]
+    assert frequent(spark, counts, 3) == [0, 2, 7]
+    assert frequent(spark, counts, 4) == [0, 2, 5, 7]
+    assert frequent(spark, counts, 8) == list(range(8))
+    assert frequent(spark, [6, 5, 7, 4], 3) == []  # all of one size
+
+
+def test_no_hot_feature_is_joined(spark):
+    """For any counts, what stays to be joined is below an even share."""
+    for seed in range(5):
+        counts = [int(1e6 / (i + 1) ** (0.5 + seed / 4)) + 1 for i in range(500)]
+        parts = 16
+        kept = set(frequent(spark, counts, 2 * parts))
+        assert len(kept) <= 2 * parts
+        rest = [n for i, n in enumerate(counts) if i not in kept]
+        assert max(rest) <= sum(counts) / parts
 
 
 def test_scratch_tables(spark):

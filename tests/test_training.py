@@ -54,6 +54,7 @@ def data():
     x[:, 0] = 1.0
     x[:20] = 0.0
     x[:, 39] = 0.0
+    x[20:220, 38] = 0.5
     y = (rng.uniform(size=300) < 1 / (1 + np.exp(-x @ rng.normal(size=40)))).astype(float)
     return x, y
 
