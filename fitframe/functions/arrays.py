@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+PACKED_CHUNK = 1 << 15  # features collected and sorted by one task
+
+
 def dense_dot(x: str, w: str) -> str:
     """Sum of x[i] * w[i]. A position that only one side has counts as 0."""
     terms = f"zip_with({x}, {w}, (a, b) -> coalesce(a * b, 0D))"
@@ -73,6 +76,15 @@ def packed_vector(vector: DataFrame, num_features: int, value: str = "v") -> Col
     holds ``num_features`` doubles, so callers check that number against their
     size bound first. The vector must have every index.
     """
-    ordered = f"sort_array(collect_list(struct(idx, {value} AS v)))"
     cells = vector.where(f"idx BETWEEN 0 AND {num_features - 1}")
-    return cells.agg(F.expr(f"transform({ordered}, c -> c.v)")).scalar()
+    if num_features <= PACKED_CHUNK:
+        return cells.agg(F.expr(_in_order("idx", value))).scalar()
+    # Chunks are sorted in parallel; the last task only strings them together.
+    chunks = cells.groupBy(F.expr(f"idx DIV {PACKED_CHUNK} AS chunk")).agg(
+        F.expr(f"{_in_order('idx', value)} AS part")
+    )
+    return chunks.agg(F.expr(f"flatten({_in_order('chunk', 'part')})")).scalar()
+
+
+def _in_order(key: str, value: str) -> str:
+    return f"transform(sort_array(collect_list(struct({key} AS key, {value} AS v))), c -> c.v)"

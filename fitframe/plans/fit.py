@@ -7,6 +7,7 @@ products that decide the next direction from that table.
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass, field
 
@@ -29,6 +30,8 @@ from fitframe.plans.scratch import Scratch, StoredTable
 WARM_STEPS = 3
 WARM_SCALE = 0.5
 
+log = logging.getLogger("fitframe")
+
 TRACE_SCHEMA = T.StructType(
     [
         T.StructField("iter", T.IntegerType(), False),
@@ -249,6 +252,10 @@ def _run(training, num_iters, tol, initial, compute_last) -> FittedModel:
         steps.append(
             (number, after.value, improvement, length, trials, curvature, reason is None)
         )
+        log.info(
+            "step %d: objective %.12g, improvement %.4g, step length %g",
+            number, after.value, improvement, length,
+        )
         if reason is not None:
             training.discard(after)
             break
