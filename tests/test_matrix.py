@@ -114,3 +114,13 @@ def test_vectors(spark):
     assert list(values(vectors.completed(a.where("idx <> 1"), 5))) == [1, 0, 3, 0, 0]
     sparse = vectors.axpy(1, a.where("idx = 0"), b.where("idx = 2"))
     assert list(values(sparse)) == [1, -1]
+
+
+def test_long_vectors_are_packed_in_order(spark, monkeypatch):
+    from fitframe.functions import arrays
+
+    monkeypatch.setattr(arrays, "PACKED_CHUNK", 10)
+    shuffled = vector(spark, np.arange(95) * 0.5).repartition(7)
+    packed = arrays.packed_vector(shuffled, 95)
+    row = spark.range(1).select(packed.alias("x")).first()
+    assert row["x"] == [0.5 * i for i in range(95)]
