@@ -5,7 +5,7 @@ from fitframe import DistributedMatrix
 from fitframe.operators import vectors
 from fitframe.operators.direction import descent_direction
 
-from reference import vector_two_loop
+from numpy_method import vector_two_loop
 
 P = 23
 

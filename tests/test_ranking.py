@@ -4,7 +4,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
 from fitframe import RankingCurve, area_under_roc
 
-from reference import auc
+from numpy_method import auc
 
 
 def frame(spark, scores, labels):

@@ -16,7 +16,7 @@ from fitframe.operators.objective import evaluate, gradient, objective
 from fitframe.plans.linesearch import STEPS
 
 from checks import tables
-from reference import auc, loss_and_gradient, optimum, train
+from numpy_method import auc, loss_and_gradient, optimum, train
 
 
 def dense(spark, x, y):
