@@ -72,18 +72,19 @@ class JoinScores:
     ):
         spark = examples.df.sparkSession
         parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        scratch = Scratch(spark)
+        self._scratch = Scratch(spark)
+        self._tables = []
         if examples.id_col is None:
             # Generated ids must be the same in both layouts: store them once.
             numbered = examples.df.withColumn("_row_id", F.monotonically_increasing_id())
-            stored = scratch.store(numbered, "examples").df
+            stored = self._store(numbered, "examples")
             examples = Examples(stored, examples.num_features, "_row_id")
         id_col = examples.id_col
 
         counts = examples.entries().groupBy("idx").agg(F.expr("count(1) AS n"))
-        counts = scratch.store(counts, "feature-counts").df
+        counts = self._store(counts, "feature-counts")
         frequent = frequent_features(counts, max(broadcast_features, 2 * parts))
-        self._frequent = scratch.store(frequent, "frequent-features").df
+        self._frequent = self._store(frequent, "frequent-features")
         self._num_frequent = self._frequent.count()
 
         # The size bound of the frequent features makes this broadcast safe.
@@ -135,9 +136,17 @@ class JoinScores:
             .selectExpr(*self._columns, *scores)
         )
 
+    def _store(self, df: DataFrame, name: str) -> DataFrame:
+        table = self._scratch.store(df, name)
+        self._tables.append(table)
+        return table.df
+
     def close(self) -> None:
+        """Drop caches and stored tables; results of ``add`` end with them."""
         for held in self._held:
             held.unpersist()
+        for table in self._tables:
+            self._scratch.discard(table)
 
 
 def frequent_features(counts: DataFrame, limit: int) -> DataFrame:
