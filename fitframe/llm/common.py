@@ -132,48 +132,48 @@ def map_rows(
 
 def linked_members(
     lists: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch,
-    fits: Callable[[Column, Column], Column] = lambda n, m: F.lit(True),
+    fits: Callable[[Column, Column], Column] = lambda s, t: F.lit(True),
 ) -> DataFrame:
-    """``id, component`` of the members of ``lists(id, n, l, token)`` that link to another.
+    """``id, component`` of the members of ``lists(id, w, s, l, token)`` that link to another.
 
     Two ids are candidates when they meet under at least as many tokens as the
-    smaller of their ``l`` and ``fits`` holds for their ``n``. ``verified`` turns
+    smaller of their ``l`` and ``fits`` holds for their sketches ``s``. ``verified`` turns
     candidates ``hub, member`` into those that link.
 
-    First, members are verified against the least and the greatest member of their
-    lists only, one candidate for each. What links is one component. Then the
+    First, members are verified against the first member of their lists only, by
+    weight ``w``, then by id: the one that all others of a group were most likely
+    made from. Each member tries the one it meets most often. What links is one component. Then the
     pairs of a list that are still in different components follow, all of them; a
     pair within one component can change nothing any more.
     """
-    member = F.struct("id", "n", "l")
-    shared = lists.groupBy("token").agg(
-        F.count(F.lit(1)).alias("size"), F.min(member).alias("low"), F.max(member).alias("high")
-    )
+    member = F.struct("w", "id", "s", "l")
+    shared = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max(member).alias("top"))
     shared = scratch.store(shared.where("size > 1").drop("size"), "shared").df
     active = scratch.store(lists.join(shared, "token"), "lists").df
 
-    ends = active.select("id", "n", "l", F.explode(F.array("low", "high")).alias("e"))
-    ends = ends.select("id", "n", "l", F.col("e.id").alias("hub"), F.col("e.n").alias("m"), F.col("e.l").alias("o"))
-    met = ends.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("m"))).groupBy("id", "hub")
+    ends = active.select(
+        "id", "s", "l", F.col("top.id").alias("hub"), F.col("top.s").alias("t"), F.col("top.l").alias("o")
+    )
+    met = ends.where((F.col("id") != F.col("hub")) & fits(F.col("s"), F.col("t"))).groupBy("id", "hub")
     met = met.agg(F.count(F.lit(1)).alias("times"), F.min(F.least("l", "o")).alias("least"))
     best = met.where("times >= least").groupBy("id").agg(F.max(F.struct("times", "hub")).alias("b"))
     first = scratch.store(best.select("b.hub", F.col("id").alias("member")), "pairs").df
     edges = lambda pairs: pairs.select(F.col("hub").alias("a"), F.col("member").alias("b"))
     known = scratch.store(components(edges(verified(first)), scratch), "known").df
 
-    place = active.select("token", "id", "n", "l", F.col("low.id").alias("low")).join(known, "id", "left")
+    place = active.select("token", "id", "s", "l", F.col("top.id").alias("top")).join(known, "id", "left")
     place = place.withColumn("component", F.coalesce("component", "id"))
-    bulk = known.select(F.col("id").alias("low"), F.col("component").alias("bulk"))
-    place = place.join(bulk, "low", "left").withColumn("bulk", F.coalesce("bulk", "low"))
-    place = place.withColumn("apart", F.col("component") != F.col("bulk")).drop("low", "bulk")
+    bulk = known.select(F.col("id").alias("top"), F.col("component").alias("bulk"))
+    place = place.join(bulk, "top", "left").withColumn("bulk", F.coalesce("bulk", "top"))
+    place = place.withColumn("apart", F.col("component") != F.col("bulk")).drop("top", "bulk")
     place = scratch.store(place, "places").df
     away = place.where("apart").select(
-        "token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("component").alias("ca")
+        "token", F.col("id").alias("a"), F.col("s").alias("sa"), F.col("l").alias("la"), F.col("component").alias("ca")
     )
     # Of two members outside the list's first component, the pair counts once.
     pairs = away.join(place, "token").where(
         (F.col("ca") != F.col("component")) & (~F.col("apart") | (F.col("a") < F.col("id")))
-        & fits(F.col("na"), F.col("n"))
+        & fits(F.col("sa"), F.col("s"))
     )
     met = pairs.groupBy(F.least("a", "id").alias("member"), F.greatest("a", "id").alias("hub")).agg(
         F.count(F.lit(1)).alias("times"), F.min(F.least("la", "l")).alias("least")

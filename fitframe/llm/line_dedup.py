@@ -128,7 +128,7 @@ def line_verdicts(
     classes = scratch.store(classes, "classes").df
 
     lists = classes.select(
-        "id", F.lit(0).alias("n"), F.lit(1).alias("l"), F.explode(bands(F.col("entries"))).alias("token")
+        "id", F.col("size").alias("w"), F.lit(0).alias("s"), F.lit(1).alias("l"), F.explode(bands(F.col("entries"))).alias("token")
     )
     check = lambda pairs: verified_lines(numbered, classes, pairs, scratch, least_chars, least_alike)
     linked = scratch.store(linked_members(lists, check, scratch), "linked").df

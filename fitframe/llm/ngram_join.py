@@ -13,7 +13,8 @@ different sets are honoured; the result is each document's connected component.
    to meet l times before it is verified. A pair needs the smaller l of the two.
 4. Candidates are verified in two rounds (``linked_members``), so that a group of
    near copies costs its size and not its square.
-5. Verification is exact, on the whole sets, grouped around one side of the pairs.
+5. Verification is exact: pairs whose bitmaps already differ too much are out, the
+   whole sets of the others meet, grouped around one side of the pairs.
 
 Defined cases: null and empty texts and those without words have an empty set,
 ``n_shingles`` 0 and no link; texts with fewer words than ``k`` have one n-gram;
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fitframe.llm.common import linked_members, map_rows
 from fitframe.llm.hashing import mixed, shingle_set
@@ -39,7 +40,8 @@ FLUSH = 1 << 20
 LEAST_COUNT = 4
 LONGEST = 8
 VERIFY_COST = 30.0
-SALTS = 32
+BITMAP, SMALL = 2048, 512
+MEMBERS = 512
 SENT_ROWS = 500_000
 
 
@@ -73,8 +75,8 @@ class Prefixes:
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, percent: int):
         self.frequent, self.counts, self.percent = frequent, counts, percent
 
-    def of(self, tokens: np.ndarray) -> tuple[int, np.ndarray]:
-        """``l`` and the prefix for it."""
+    def of(self, tokens: np.ndarray) -> tuple[int, np.ndarray, float]:
+        """``l``, the prefix for it, and how often the set's n-grams were met on average."""
         n = len(tokens)
         overlap = least_overlap(n, self.percent)
         first = n - overlap  # a prefix has this many n-grams and l more
@@ -89,22 +91,40 @@ class Prefixes:
         wanted = np.arange(1, most + 1)
         cost = lists * (1 + VERIFY_COST / wanted) + wanted
         best = int(wanted[np.argmin(cost)])
-        return best, tokens[order[: first + best]]
+        return best, tokens[order[: first + best]], float(met.mean())
+
+
+def bitmap(tokens: np.ndarray, size: int) -> np.ndarray:
+    """A bit per hash class. Bits that differ between two sets are n-grams that differ."""
+    bits = np.zeros(size, bool)
+    bits[(tokens >> np.uint64(20)) % np.uint64(size)] = True
+    return np.packbits(bits)
+
+
+def may_link(s: Column, t: Column, percent: int) -> Column:
+    """False only for sets that cannot link, by their sizes and their small bitmaps."""
+    differ = sum(F.bit_count(s[f"b{i}"].bitwiseXOR(t[f"b{i}"])) for i in range(SMALL // 64))
+    sizes = F.least(s["n"], t["n"]) * 100 >= F.greatest(s["n"], t["n"]) * percent
+    return sizes & (differ * (100 + percent) <= (s["n"] + t["n"]) * (100 - percent))
 
 
 def set_rows(batches: Iterator[pa.RecordBatch], k: int, prefixes: Prefixes) -> Iterator[tuple]:
-    """``doc_id, text_key, n, key, l, prefix`` for rows ``doc_id, text_key, text``."""
+    """``doc_id, text_key, n, key, l, w, bits, small, prefix`` for rows ``doc_id, text_key, text``."""
     for batch in batches:
         for doc_id, text_key, text in zip(*(batch.column(i) for i in range(3))):
             tokens = shingle_set(text.as_py(), k)
             if not len(tokens):
-                yield doc_id.as_py(), text_key.as_py(), 0, None, 0, None
+                yield doc_id.as_py(), text_key.as_py(), 0, None, 0, 0.0, None, None, None
                 continue
             # Sums over the set: equal sets have equal keys.
             sums = [int(mixed(tokens + np.uint64(s)).sum()) for s in (1, len(tokens) << 8)]
             key = np.array(sums, np.uint64).tobytes()
-            best, prefix = prefixes.of(tokens)
-            yield doc_id.as_py(), text_key.as_py(), len(tokens), key, best, prefix.view(np.int64).tolist()
+            best, prefix, weight = prefixes.of(tokens)
+            yield (
+                doc_id.as_py(), text_key.as_py(), len(tokens), key, best, weight, bitmap(tokens, BITMAP).tobytes(),
+                bitmap(tokens, SMALL).view(np.int64).tolist(),
+                prefix.view(np.int64).tolist(),
+            )
 
 
 def verified_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int]]:
@@ -146,22 +166,24 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scra
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key"), "text")
     sets = map_rows(
         keyed, lambda b: set_rows(b, k, prefixes),
-        "doc_id long, text_key long, n long, key binary, l int, prefix array<long>",
+        "doc_id long, text_key long, n long, key binary, l int, w double, bits binary, small array<long>, prefix array<long>",
         pa.schema([
             ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("key", pa.binary()),
-            ("l", pa.int32()), ("prefix", pa.list_(pa.int64())),
+            ("l", pa.int32()), ("w", pa.float64()), ("bits", pa.binary()),
+            ("small", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())),
         ]),
     )
     sets = scratch.store(sets, "sets").df
     same = sets.where("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("least"),
         F.first("text_key").alias("text_key"), F.first("n").alias("n"), F.first("l").alias("l"),
-        F.first("prefix").alias("prefix"),
+        F.first("w").alias("w"), F.first("bits").alias("bits"), F.first("small").alias("small"), F.first("prefix").alias("prefix"),
     )
     same = scratch.store(same.withColumn("id", F.monotonically_increasing_id()), "classes").df
 
-    lists = same.select("id", "n", "l", F.explode("prefix").alias("token"))
-    fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    sketch = F.struct("n", *(F.get("small", F.lit(i)).alias(f"b{i}") for i in range(SMALL // 64)))
+    lists = same.select("id", "w", sketch.alias("s"), "l", F.explode("prefix").alias("token"))
+    fits = lambda s, t: may_link(s, t, percent)
     check = lambda pairs: verified(documents, same, pairs, scratch, k, percent)
     linked = linked_members(lists, check, scratch, fits)
     # The least document of each component, then of each class.
@@ -180,30 +202,47 @@ def verified(
     documents: DataFrame, same: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, percent: int
 ) -> DataFrame:
     """The pairs ``hub, member`` whose whole sets link."""
-    schema = "id long, tokens binary"
-    arrow = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
-    wanted = pairs.select(F.explode(F.array("hub", "member")).alias("id")).distinct()
-    wanted = scratch.store(wanted.join(same.select("id", "text_key"), "id"), "wanted").df
+    sizes = same.select("id", "n", "bits")
+    both = pairs.join(sizes.toDF("member", "n", "a"), "member").join(sizes.toDF("hub", "m", "b"), "hub")
+
+    @F.arrow_udf("long")
+    def differing(a: pa.Array, b: pa.Array) -> pa.Array:
+        left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1) for x in (a, b))
+        return pa.array(np.bitwise_count(left ^ right).sum(1, dtype=np.int64))
+
+    # Sets that link differ in at most this share of their n-grams; exact, nothing that links is lost.
+    near = differing("a", "b") * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    pairs = scratch.store(both.where(near).select("hub", "member").distinct(), "close").df
+    # A hub with very many members is dealt to several tasks.
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
+    salt = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("salt")
+    salted = pairs.join(parts, "hub").select("hub", salt, "member")
+    none = F.lit(None).cast("long").alias("member")
+    roles = salted.select(F.col("member").alias("id"), "hub", "salt", "member").unionByName(
+        salted.select(F.col("hub").alias("id"), "hub", "salt", none).distinct()
+    )
+    roles = scratch.store(roles.join(same.select("id", "text_key"), "id").drop("id"), "roles").df
     # Sent to the texts up to a fixed number of rows; beyond that the texts are joined.
-    side = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
+    side = F.broadcast(roles) if roles.count() <= SENT_ROWS else roles
     texts = documents.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").join(side, "text_key")
 
     def rows(batches):
-        seen = set()  # copies of one text in one task; a repeat does no harm
+        seen, current, tokens = set(), None, None  # copies of a text go once from a task
         for batch in batches:
-            for key, text in zip(*(batch.column(i) for i in range(2))):
-                if key.as_py() not in seen:
+            for key, text, hub, part, member in zip(*(batch.column(i) for i in range(5))):
+                if key != current:
+                    current, known = key, key.as_py() in seen
                     seen.add(key.as_py())
-                    yield key.as_py(), shingle_set(text.as_py(), k).tobytes()
-
-    token_sets = map_rows(texts.select("id", "text"), rows, schema, arrow)
-    token_sets = scratch.store(token_sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "tokens").df
-    salt = F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int").alias("salt")
-    members = pairs.select("hub", salt, "member").join(token_sets.withColumnRenamed("id", "member"), "member")
-    hubs = pairs.select("hub", salt).distinct().join(token_sets.withColumnRenamed("id", "hub"), "hub")
-    hubs = hubs.select("hub", "salt", F.lit(None).cast("long").alias("member"), "tokens")
-    rows_of = hubs.unionByName(members.select("hub", "salt", "member", "tokens"))
-    dealt = rows_of.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("member"))
+                    tokens = None if known else shingle_set(text.as_py(), k).tobytes()
+                if tokens is not None:
+                    yield hub.as_py(), part.as_py(), member.as_py(), tokens
+
+    arrow = pa.schema([("hub", pa.int64()), ("salt", pa.int32()), ("member", pa.int64()), ("tokens", pa.binary())])
+    sets = map_rows(
+        texts.select("text_key", "text", "hub", "salt", "member"), rows,
+        "hub long, salt int, member long, tokens binary", arrow,
+    )
+    dealt = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("member"))
     found = map_rows(
         dealt, lambda b: verified_pairs(b, percent), "hub long, member long",
         pa.schema([("hub", pa.int64()), ("member", pa.int64())]),
