@@ -131,42 +131,43 @@ def map_rows(
 
 
 def linked_members(
-    lists: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch,
+    lists: DataFrame, members: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch,
     fits: Callable[[Column, Column], Column] = lambda s, t: F.lit(True),
 ) -> DataFrame:
-    """``id, component`` of the members of ``lists(id, w, s, l, token)`` that link to another.
+    """``id, component`` of the members that link to another one.
 
-    Two ids are candidates when they meet under at least as many tokens as the
-    smaller of their ``l`` and ``fits`` holds for their sketches ``s``. ``verified`` turns
-    candidates ``hub, member`` into those that link.
+    ``lists(id, token)`` says under which tokens a member of ``members(id, w, s, l)``
+    is met. Two members are candidates when they meet under at least as many
+    tokens as the smaller of their ``l`` and ``fits`` holds for their sketches
+    ``s``. ``verified`` turns candidates ``hub, member`` into those that link.
 
     First, members are verified against the first member of their lists only, by
     weight ``w``, then by id: the one that all others of a group were most likely
-    made from. Each member tries the one it meets most often. What links is one component. Then the
-    pairs of a list that are still in different components follow, all of them; a
-    pair within one component can change nothing any more.
+    made from. Each member tries the one it meets most often. What links is one
+    component. Then the pairs of a list that are still in different components
+    follow, all of them; a pair within one component can change nothing any more.
     """
-    member = F.struct("w", "id", "s", "l")
-    shared = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max(member).alias("top"))
-    shared = scratch.store(shared.where("size > 1").drop("size"), "shared").df
-    active = scratch.store(lists.join(shared, "token"), "lists").df
-
-    ends = active.select(
-        "id", "s", "l", F.col("top.id").alias("hub"), F.col("top.s").alias("t"), F.col("top.l").alias("o")
-    )
-    met = ends.where((F.col("id") != F.col("hub")) & fits(F.col("s"), F.col("t"))).groupBy("id", "hub")
-    met = met.agg(F.count(F.lit(1)).alias("times"), F.min(F.least("l", "o")).alias("least"))
-    best = met.where("times >= least").groupBy("id").agg(F.max(F.struct("times", "hub")).alias("b"))
+    shared = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
+    active = scratch.store(lists.select("token", "id").join(shared, "token"), "lists").df
+    weighed = active.join(members.select("id", "w"), "id")
+    tops = weighed.groupBy("token").agg(F.max(F.struct("w", "id"))["id"].alias("top"))
+    active = scratch.store(active.join(tops, "token"), "tops").df
+
+    own, other = members.select("id", "s", "l"), members.select(F.col("id").alias("hub"), F.col("s").alias("t"), F.col("l").alias("o"))
+    met = active.where("id <> top").groupBy("id", F.col("top").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
+    met = met.join(own, "id").join(other, "hub").where(fits(F.col("s"), F.col("t")) & (F.col("times") >= F.least("l", "o")))
+    best = met.groupBy("id").agg(F.max(F.struct("times", "hub")).alias("b"))
     first = scratch.store(best.select("b.hub", F.col("id").alias("member")), "pairs").df
     edges = lambda pairs: pairs.select(F.col("hub").alias("a"), F.col("member").alias("b"))
     known = scratch.store(components(edges(verified(first)), scratch), "known").df
 
-    place = active.select("token", "id", "s", "l", F.col("top.id").alias("top")).join(known, "id", "left")
-    place = place.withColumn("component", F.coalesce("component", "id"))
+    place = active.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     bulk = known.select(F.col("id").alias("top"), F.col("component").alias("bulk"))
     place = place.join(bulk, "top", "left").withColumn("bulk", F.coalesce("bulk", "top"))
-    place = place.withColumn("apart", F.col("component") != F.col("bulk")).drop("top", "bulk")
+    place = place.select("token", "id", "component", (F.col("component") != F.col("bulk")).alias("apart"))
     place = scratch.store(place, "places").df
+    away = place.where("apart")
+    place = scratch.store(place.join(away.select("token").distinct(), "token", "left_semi").join(own, "id"), "mixed").df
     away = place.where("apart").select(
         "token", F.col("id").alias("a"), F.col("s").alias("sa"), F.col("l").alias("la"), F.col("component").alias("ca")
     )

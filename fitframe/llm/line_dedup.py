@@ -127,11 +127,10 @@ def line_verdicts(
     )
     classes = scratch.store(classes, "classes").df
 
-    lists = classes.select(
-        "id", F.col("size").alias("w"), F.lit(0).alias("s"), F.lit(1).alias("l"), F.explode(bands(F.col("entries"))).alias("token")
-    )
+    lists = classes.select("id", F.explode(bands(F.col("entries"))).alias("token"))
+    members = classes.select("id", F.col("size").alias("w"), F.lit(0).alias("s"), F.lit(1).alias("l"))
     check = lambda pairs: verified_lines(numbered, classes, pairs, scratch, least_chars, least_alike)
-    linked = scratch.store(linked_members(lists, check, scratch), "linked").df
+    linked = scratch.store(linked_members(lists, members, check, scratch), "linked").df
     grouped = classes.join(linked, "id", "left").where("size > 1 OR component IS NOT NULL")
     grouped = grouped.select("h", "g", "order", "row", "at", F.coalesce("component", "id").alias("component"))
     grouped = scratch.store(grouped, "grouped").df

@@ -182,10 +182,11 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scra
     same = scratch.store(same.withColumn("id", F.monotonically_increasing_id()), "classes").df
 
     sketch = F.struct("n", *(F.get("small", F.lit(i)).alias(f"b{i}") for i in range(SMALL // 64)))
-    lists = same.select("id", "w", sketch.alias("s"), "l", F.explode("prefix").alias("token"))
+    members = same.select("id", "w", sketch.alias("s"), "l")
+    lists = same.select("id", F.explode("prefix").alias("token"))
     fits = lambda s, t: may_link(s, t, percent)
     check = lambda pairs: verified(documents, same, pairs, scratch, k, percent)
-    linked = linked_members(lists, check, scratch, fits)
+    linked = linked_members(lists, members, check, scratch, fits)
     # The least document of each component, then of each class.
     roots = same.select("id", "key", "least").join(linked, "id", "left")
     roots = roots.withColumn("root", F.coalesce("component", "id"))
