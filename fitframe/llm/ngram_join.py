@@ -101,6 +101,19 @@ def bitmap(tokens: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(bits)
 
 
+def bitmap_size(n: int) -> int:
+    """A power of two, at least ``BITMAP`` and at least twice the set's size."""
+    return max(BITMAP, 1 << (2 * n - 1).bit_length())
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits that differ, the longer bitmap folded to the length of the shorter one."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    short = min(len(x), len(y))
+    x, y = (v if len(v) == short else np.bitwise_or.reduce(v.reshape(-1, short)) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def may_link(s: Column, t: Column, percent: int) -> Column:
     """False only for sets that cannot link, by their sizes and their small bitmaps."""
     differ = sum(F.bit_count(s[f"b{i}"].bitwiseXOR(t[f"b{i}"])) for i in range(SMALL // 64))
@@ -121,7 +134,7 @@ def set_rows(batches: Iterator[pa.RecordBatch], k: int, prefixes: Prefixes) -> I
             key = np.array(sums, np.uint64).tobytes()
             best, prefix, weight = prefixes.of(tokens)
             yield (
-                doc_id.as_py(), text_key.as_py(), len(tokens), key, best, weight, bitmap(tokens, BITMAP).tobytes(),
+                doc_id.as_py(), text_key.as_py(), len(tokens), key, best, weight, bitmap(tokens, bitmap_size(len(tokens))).tobytes(),
                 bitmap(tokens, SMALL).view(np.int64).tolist(),
                 prefix.view(np.int64).tolist(),
             )
@@ -208,8 +221,7 @@ def verified(
 
     @F.arrow_udf("long")
     def differing(a: pa.Array, b: pa.Array) -> pa.Array:
-        left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1) for x in (a, b))
-        return pa.array(np.bitwise_count(left ^ right).sum(1, dtype=np.int64))
+        return pa.array([differing_bits(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.int64())
 
     # Sets that link differ in at most this share of their n-grams; exact, nothing that links is lost.
     near = differing("a", "b") * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
