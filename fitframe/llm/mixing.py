@@ -119,7 +119,11 @@ def mix(
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken whole."""
+    """The mix itself: every document as often as it is taken whole.
+
+    Complete epochs hold every document of the source, those without words too;
+    the sample on top never takes those.
+    """
     taken = mix(documents, documents.columns, **options).where("_mix_copies > 0")
     repeats = F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int"))).alias("_mix_copy")
     return taken.select(*documents.columns, repeats).drop("_mix_copy")
