@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
 Voters look at a text: fixed insults, words and word beginnings that are far
-more common in texts labelled toxic, repeated hits, insults after "you", shouting,
-and the absence of any of these. A generative label model estimates, without
+more often dense in texts labelled toxic, repeated hits, insults after "you", shouting,
+and the absence of any of these. Beginnings that toxic words share also occur by chance
+in long clean texts, so mined entries count by their share of a text's words. A generative label model estimates, without
 looking at labels, how often each voter is right per class and which voters
 agree for reasons other than the class; correlated voters share their weight.
 Its posterior labels train a linear classifier on the voters' counts, which
@@ -50,33 +51,43 @@ class Lexicon:
     starts: dict[int, frozenset]
 
 
-def entries_of(text: str) -> set[tuple[int, str]]:
-    """Distinct words (kind 0) and word beginnings (kind: their length)."""
-    words = set(WORD.findall(text.lower()))
-    found = {(0, w) for w in words if len(w) <= 40}
-    for n in BEGINNINGS:
-        found |= {(n, w[:n]) for w in words if len(w) >= n}
-    return found
-
-
-def mined_lexicon(texts: DataFrame, n_toxic: int, n_clean: int, size: int, z: float, purity: float) -> tuple[Lexicon, frozenset]:
-    """Entries over-represented in toxic texts, and the fixed insults without those that
-    the labels contradict. ``texts`` has ``text, label``.
+def entries_of(text: str, share: float) -> tuple[set[tuple[int, str]], set[tuple[int, str]]]:
+    """Distinct words (kind 0) and word beginnings (kind: their length), and those of
+    them that make up at least ``share`` of the words.
+    """
+    words = Counter(WORD.findall(text.lower()))
+    found = Counter({(0, w): k for w, k in words.items() if len(w) <= 40})
+    for w, k in words.items():
+        for n in BEGINNINGS:
+            if len(w) >= n:
+                found[n, w[:n]] += k
+    least = share * words.total()
+    return set(found), {e for e, k in found.items() if k >= least}
+
+
+def mined_lexicon(
+    texts: DataFrame, n_toxic: int, n_clean: int, size: int, z: float, purity: float, share: float
+) -> tuple[Lexicon, frozenset]:
+    """Entries that are dense in more toxic texts than others, and the fixed insults
+    without those that the labels contradict. ``texts`` has ``text, label``.
     """
 
     def rows(batches):
         for batch in batches:
-            toxic, clean = Counter(), Counter()
+            seen, dense = (Counter(), Counter()), (Counter(), Counter())
             for label, text in zip(batch.column(1).to_pylist(), texts_of(batch, 0)):
-                (toxic if label else clean).update(entries_of(text))
-            for entry in toxic:
-                yield *entry, toxic[entry], clean[entry]
-            for entry in clean.keys() - toxic.keys():
-                yield *entry, 0, clean[entry]
-
-    arrow = pa.schema([("kind", pa.int32()), ("entry", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
-    counts = map_rows(texts, rows, "kind int, entry string, toxic long, clean long", arrow)
-    counts = counts.groupBy("kind", "entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+                found, often = entries_of(text, share)
+                seen[label].update(found)
+                dense[label].update(often)
+            for entry in seen[0].keys() | seen[1].keys():
+                yield *entry, *(counted[k][entry] for counted in (seen, dense) for k in (1, 0))
+
+    names = ("toxic", "clean", "dense_toxic", "dense_clean")
+    arrow = pa.schema([("kind", pa.int32()), ("entry", pa.string()), *((n, pa.int64()) for n in names)])
+    counts = map_rows(texts, rows, "kind int, entry string, " + ", ".join(f"{n} long" for n in names), arrow)
+    counts = counts.groupBy("kind", "entry").agg(
+        *(F.sum(n).alias(short) for n, short in zip(names, ("seen_t", "seen_c", "t", "c")))
+    )
     counts = counts.persist()
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     odds = F.log(t / (n_toxic + 1.0)) - F.log(c / (n_clean + 1.0))
@@ -84,20 +95,26 @@ def mined_lexicon(texts: DataFrame, n_toxic: int, n_clean: int, size: int, z: fl
     pure = scored.where((F.col("z") >= z) & (F.col("t") >= purity * (F.col("t") + F.col("c"))))
     top = pure.orderBy(F.desc("z"), "kind", "entry").limit(size).collect()
     listed = counts.where((F.col("kind") == 0) & F.col("entry").isin(INSULTS))
-    contradicted = {r.entry for r in listed.where((F.col("c") >= 5) & (F.col("c") > F.col("t"))).collect()}
+    contradicted = {r.entry for r in listed.where((F.col("seen_c") >= 5) & (F.col("seen_c") > F.col("seen_t"))).collect()}
     counts.unpersist()
     by_kind = {k: frozenset(r.entry for r in top if r.kind == k) for k in (0, *BEGINNINGS)}
     lexicon = Lexicon(by_kind[0], {n: by_kind[n] for n in BEGINNINGS})
     return lexicon, frozenset(INSULTS) - contradicted
 
 
-def hits(text: str, lexicon: Lexicon, insults: frozenset) -> list[float]:
-    """Counts per voter of a whole text, in the order of ``VOTERS``, then its words."""
+def hits(text: str, lexicon: Lexicon, insults: frozenset, share: float) -> list[float]:
+    """Counts per voter of a whole text, in the order of ``VOTERS``, then its words.
+
+    Words and beginnings of the lexicon count where, kind by kind, they make up at
+    least ``share`` of the words.
+    """
     words = WORD.findall(text.lower())
     counted = Counter(words)
     listed = [w for w in counted if w in insults]
-    mined = [w for w in counted if w in lexicon.words]
-    starts = {n: [w for w in counted if w[:n] in s] for n, s in lexicon.starts.items()}
+    least = share * len(words)
+    dense = lambda found: found if sum(counted[w] for w in found) >= least else []
+    mined = dense([w for w in counted if w in lexicon.words])
+    starts = {n: dense([w for w in counted if w[:n] in s]) for n, s in lexicon.starts.items()}
     marked = set(listed).union(mined, *starts.values())
     total = sum(counted[w] for w in marked)
     # Looking behind every marked word is only needed where there is one.
@@ -182,7 +199,8 @@ def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.01, rounds: int =
 
 def fit_toxicity(
     documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1,
-    fit_rows: int = 20_000, lexicon_size: int = 4_000, z: float = 3.0, purity: float = 0.9,
+    fit_rows: int = 20_000, lexicon_size: int = 4_000, z: float = 3.0, purity: float = 0.75,
+    share: float = 0.0075,
 ) -> Callable[[Column], Column]:
     """A function that turns a column of texts into scores.
 
@@ -195,12 +213,12 @@ def fit_toxicity(
     # The sample has a fixed size, whatever the size of the data.
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     found = texts.select("text", "label")
-    lexicon, insults = mined_lexicon(found, n_toxic, n_clean, lexicon_size, z, purity)
+    lexicon, insults = mined_lexicon(found, n_toxic, n_clean, lexicon_size, z, purity, share)
 
     def hit_rows(batches):
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch, 1)):
-                yield key, hits(text, lexicon, insults)
+                yield key, hits(text, lexicon, insults, share)
 
     arrow = pa.schema([("doc_id", pa.int64()), ("hits", pa.list_(pa.float64()))])
     keyed = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -216,7 +234,7 @@ def fit_toxicity(
         weights[0], weights[-1] = 6.0, -3.0
 
     def score(texts: list[str]) -> np.ndarray:
-        return sigmoid(features(np.array([hits(t, lexicon, insults) for t in texts])) @ weights)
+        return sigmoid(features(np.array([hits(t, lexicon, insults, share) for t in texts])) @ weights)
 
     return lambda text: scored_by(score, text)
 
