@@ -1,23 +1,33 @@
 """Intermediate tables in the cluster's shared checkpoint folder.
 
-The training loop cuts its lineage by writing each step's state as a parquet
-table, so a lost executor costs a re-read and never a replay of earlier steps.
+A stored table cuts the lineage: a lost executor costs a re-read and never a replay
+of earlier steps. The tables of one run are managed tables of a database of its own,
+located in the folder that ``spark.checkpoint.dir`` names, so dropping them deletes
+their files.
+
+A bucketed table keeps rows of equal keys in the same bucket. Tables with the same
+number of buckets over the same keys join and aggregate by them without a shuffle.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+WAREHOUSE_SETTING = "spark.sql.warehouse.dir"
+
+_open_scopes: ContextVar[tuple[list["Scratch"], ...]] = ContextVar("open_scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
-    Only a local session without the setting falls back to a temporary folder.
+    Without the setting, a local session uses its warehouse folder.
     """
     context = spark.sparkContext
     folder = (
@@ -29,35 +39,68 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="fitframe-")
-    context.setCheckpointDir(folder)
-    return folder
+    return spark.conf.get(WAREHOUSE_SETTING)
 
 
 class Scratch:
-    """Tables of one run, under a folder of their own."""
+    """Tables of one run, in a folder and a database of their own."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/fitframe-{uuid.uuid4().hex}"
+        self.name = f"fitframe_{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{self.name}"
         self._count = 0
+        for scope in _open_scopes.get()[-1:]:
+            scope.append(self)
 
     def store(self, df: DataFrame, name: str) -> "StoredTable":
+        return self._save(df.write, name)
+
+    def store_bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> "StoredTable":
+        """One file per bucket, sorted by the keys: the one shuffle that later joins save."""
+        dealt = df.repartition(buckets, *keys)
+        return self._save(dealt.write.bucketBy(buckets, *keys).sortBy(*keys), name)
+
+    def _save(self, writer, name: str) -> "StoredTable":
+        if self._count == 0:
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.name} LOCATION '{self.root}'")
         self._count += 1
-        path = f"{self.root}/{self._count:05d}-{name}"
-        df.write.parquet(path)
-        return StoredTable(self.spark.read.schema(df.schema).parquet(path), path)
+        table = f"{self.name}.t{self._count:05d}_{name.replace('-', '_')}"
+        writer.format("parquet").saveAsTable(table)
+        return StoredTable(self.spark.table(table), table, f"{self.root}/{table.partition('.')[2]}")
 
     def discard(self, table: "StoredTable") -> None:
         """Delete a table of this run that nothing reads any more."""
-        if not table.path.startswith(self.root + "/"):
-            raise ValueError(f"{table.path} is not a table of this run")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(table.path)
-        configuration = self.spark._jsparkSession.sessionState().newHadoopConf()
-        path.getFileSystem(configuration).delete(path, True)
+        if not table.name.startswith(f"{self.name}."):
+            raise ValueError(f"{table.name} is not a table of this run")
+        self.spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+
+    def discard_all(self) -> None:
+        """Delete all tables of this run."""
+        if self._count:
+            self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
+            self._count = 0
 
 
 class StoredTable:
-    def __init__(self, df: DataFrame, path: str):
+    def __init__(self, df: DataFrame, name: str, path: str):
         self.df = df
+        self.name = name
         self.path = path
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Delete at the end the tables of every ``Scratch`` that was made inside.
+
+    For callers that have written the result they want: what an operator returns
+    may read its stored tables.
+    """
+    made: list[Scratch] = []
+    token = _open_scopes.set((*_open_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _open_scopes.reset(token)
+        for scratch in made:
+            scratch.discard_all()

@@ -1,3 +1,4 @@
+import os
 import re
 
 from pyspark import StorageLevel
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from fitframe import LOGISTIC
 from fitframe.plans.evaluation import Evaluation
 from fitframe.plans.scoring import BroadcastScores, JoinScores, frequent_features, scores_for
-from fitframe.plans.scratch import Scratch, shared_folder
+from fitframe.plans.scratch import Scratch, shared_folder, temporary_tables
 
 from checks import tables
 
@@ -97,6 +98,27 @@ def test_scratch_tables(spark):
     except ValueError:
         assert other.df.count() == 1
     scratch.discard(table)
+    assert not os.path.exists(table.path)
+
+
+def test_temporary_tables_end_with_their_block(spark):
+    with temporary_tables():
+        inner = Scratch(spark).store(spark.range(3), "ids")
+        with temporary_tables():
+            nested = Scratch(spark).store(spark.range(3), "ids")
+        assert inner.df.count() == 3 and os.path.exists(inner.path)
+        assert not os.path.exists(nested.path)
+    assert not os.path.exists(os.path.dirname(inner.path))
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    scratch = Scratch(spark)
+    rows = spark.range(10_000).withColumn("v", F.rand(1))
+    a, b = (scratch.store_bucketed(rows, name, ["id"], 4) for name in ("a", "b"))
+    joined = a.df.hint("merge").join(b.df, "id").groupBy("id").agg(F.count(F.lit(1)))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == 10_000
 
 
 def test_shared_folder_is_the_configured_one(spark):
