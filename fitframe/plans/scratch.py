@@ -56,9 +56,14 @@ class Scratch:
     def store(self, df: DataFrame, name: str) -> "StoredTable":
         return self._save(df.write, name)
 
-    def store_bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> "StoredTable":
-        """One file per bucket, sorted by the keys: the one shuffle that later joins save."""
-        dealt = df.repartition(buckets, *keys)
+    def store_bucketed(
+        self, df: DataFrame, name: str, keys: list[str], buckets: int, aligned: bool = False
+    ) -> "StoredTable":
+        """Bucketed and sorted by the keys, one file per bucket: the one shuffle that later joins save.
+
+        ``aligned`` says that ``df`` comes from tables that are bucketed so already.
+        """
+        dealt = df if aligned else df.repartition(buckets, *keys)
         return self._save(dealt.write.bucketBy(buckets, *keys).sortBy(*keys), name)
 
     def _save(self, writer, name: str) -> "StoredTable":
