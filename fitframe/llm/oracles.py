@@ -117,3 +117,70 @@ SELECT page_id, host, path, {_rule(0)} AS rule,
        prior AS share
 FROM u JOIN ho USING (host)
 """
+
+
+def _kmeans_rounds(rounds: int) -> str:
+    """One assignment and one set of centroids per round."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""
+d{r} AS MATERIALIZED (SELECT v.row, arg_min(struct_pack(cluster := c.cluster, distance := s.distance), (s.distance, c.cluster)) AS best
+  FROM v, c{r} c, LATERAL (SELECT list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance) s
+  GROUP BY v.row)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS MATERIALIZED (SELECT best.cluster AS cluster, place, sum(v.e[place]) AS total, count(*) AS n
+  FROM d{r} JOIN v USING (row), range(1, 65) t(place) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.e, c.e) AS e FROM c{r} c LEFT JOIN
+  (SELECT cluster, list((total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END)::BIGINT ORDER BY place) AS e FROM m{r} GROUP BY cluster) n
+  USING (cluster))""")
+    return ",".join(parts)
+
+
+ORACLES["op11_heap_kmeans"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id,
+    list_transform(embedding, lambda x: floor(1024::DOUBLE * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, e) - 1 AS cluster, e
+  FROM v QUALIFY cluster < 8),
+{_kmeans_rounds(10)},
+s AS (SELECT cluster, sha256(array_to_string(e, ',')) AS sha FROM c10)
+SELECT vec_id, best.cluster::INT AS cluster, best.distance AS distance,
+  sum(best.distance) OVER (PARTITION BY best.cluster)::BIGINT AS cluster_inertia,
+  sum(best.distance) OVER ()::BIGINT AS inertia, sha AS centroid_sha256
+FROM d10 JOIN v USING (row) JOIN s ON s.cluster = best.cluster
+"""
+
+ORACLES["op12_pivot_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256::DOUBLE * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_TO_ENDS = "regexp_split_to_array(lower_text, '[.,;:!?\\x0A-\\x0D]')"
+ORACLES["op13_collocations"] = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text FROM documents),
+p AS (SELECT lang, unnest({_TO_ENDS}) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*)::BIGINT AS f
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) r(m)) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE f >= 100),
+x AS (SELECT lang, array_to_string(w[i : j], ' ') AS phrase, max(f) AS longer
+      FROM (SELECT *, unnest(range(i, m + 1)) AS j FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM f)) WHERE j - i + 1 < m GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN x USING (lang, phrase) WHERE m >= 2 AND (longer IS NULL OR 100 * longer < 100 * f)),
+k AS (SELECT c.lang, c.phrase, c.f AS a, a.f AS l, b.f AS r, n.n,
+             ((1000::HUGEINT * c.f * n.n) // (a.f::HUGEINT * b.f))::BIGINT AS score, k
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+      JOIN f a ON a.lang = c.lang AND a.phrase = array_to_string(c.w[1 : k], ' ')
+      JOIN f b ON b.lang = c.lang AND b.phrase = array_to_string(c.w[k + 1 :], ' ')
+      JOIN n ON n.lang = c.lang),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM s)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from fitframe.llm.bpe import encoded
+from fitframe.llm.collocations import collocations
 from fitframe.llm.fingerprints import fingerprints
+from fitframe.llm.heap_kmeans import clustered
 from fitframe.llm.licenses import license_scan
 from fitframe.llm.line_dedup import deduplicated
 from fitframe.llm.mixing import mix
 from fitframe.llm.neighbours import nearest
 from fitframe.llm.ngram_join import near_duplicates
+from fitframe.llm.pivot_search import pivot_search
 from fitframe.llm.quality import quality_scores
 from fitframe.llm.toxicity import toxicity_scores
 from fitframe.llm.url_filter import judged_urls
@@ -82,10 +85,23 @@ def op10_url_filter(spark, sf_dir):
     return judged_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op11_heap_kmeans(spark, sf_dir):
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_pivot_search(spark, sf_dir):
+    return pivot_search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_fingerprints, op3_nearest, op4_mixing, op5_licenses,
         op6_ngram_join, op7_toxicity, op8_line_dedup, op9_bpe, op10_url_filter,
+        op11_heap_kmeans, op12_pivot_search, op13_collocations,
     )
 } | {"pipeline": corpus_pipeline.run}
