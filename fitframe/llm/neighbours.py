@@ -1,13 +1,11 @@
 """Nearest vectors by a block matrix join.
 
-Queries and candidates are dealt into groups; each pair of a query group and a
-candidate group is one unit of work, so queries travel once per candidate group
-and candidates once per query group, and a task holds one query group only.
-Candidates stream past it in tiles. Per tile, the product of the int8 codes
-gives every inner product within a bound that follows from the vectors' own
-quantisation errors; pairs that cannot reach the nearest found so far are left
-out, the others are computed in double precision from the original vectors and
-go through a heap per query. The units' short lists are merged at the end.
+Queries and candidates meet block against block (see ``blocks``). Within a unit the
+candidates go past the queries in tiles. A tile's products of int8 codes give every
+inner product within a bound that follows from the vectors' own quantisation errors;
+pairs that cannot reach the floor a query came with, or the nearest found so far, are
+left out. The others are computed in double precision from the original vectors and
+go through a heap per query; the heaps of the units are merged.
 No candidate is lost: the result is that of comparing all pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
@@ -20,47 +18,53 @@ returned. Columns other than the two named ones are left aside.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from fitframe.llm.common import map_rows
+from fitframe.llm.blocks import block_search, usable_vectors
+from fitframe.plans.scratch import Scratch
 
-TILE = 2048
+TILE = 1024
 PAIRS_AT_ONCE = 1 << 16
-QUERY_GROUP = 2048
-CANDIDATE_GROUP = 1 << 16
 
 
 class Coded:
     """Vectors as int8 codes times a scale, with the norms that bound the error."""
 
     def __init__(self, exact: np.ndarray):
-        self.exact = exact
         scale = np.abs(exact).max(1) / 127
-        codes = np.rint(exact / scale[:, None]).astype(np.int8)
+        # Vectors of denormal numbers have codes 0, and all of them as error.
+        codes = np.rint(exact / np.where(scale > 0, scale, 1)[:, None])
         near = codes * scale[:, None]
-        self.scale = scale
-        # Products of codes are whole numbers below 2^24 for up to 1040 dimensions, so
-        # single precision holds them exactly; longer vectors use doubles.
-        self.codes = codes.astype(np.float32 if exact.shape[1] <= 1040 else np.float64)
+        self.exact, self.scale, self.codes = exact, scale, codes.astype(np.int8)
         self.length = np.sqrt((near**2).sum(1))
         self.error = np.sqrt(((exact - near) ** 2).sum(1))
 
+    def tile(self, at: int) -> "Coded":
+        part = object.__new__(Coded)
+        for name, values in vars(self).items():
+            setattr(part, name, values[at : at + TILE])
+        return part
+
+    def wide_codes(self) -> np.ndarray:
+        """Products of codes are whole numbers below 2^24 for up to 1040 dimensions, so
+        single precision holds them exactly; longer vectors use doubles."""
+        return self.codes.astype(np.float32 if self.codes.shape[1] <= 1040 else np.float64)
+
 
 class Searcher:
-    """The nearest candidates so far of one group of queries of one dimension."""
+    """The nearest candidates so far of a tile of queries of one dimension."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.k, self.coded = ids, k, Coded(vectors)
+    def __init__(self, ids: np.ndarray, coded: Coded, floors: np.ndarray, k: int):
+        self.ids, self.k, self.coded = ids, k, coded
+        self.codes = coded.wide_codes()
         self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
-        self.least = np.full(len(ids), -np.inf)
+        self.floors = self.least = floors
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        q, c = self.coded, Coded(vectors)
-        near = (q.codes @ c.codes.T).astype(np.float64) * q.scale[:, None] * c.scale
+    def add(self, ids: np.ndarray, c: Coded) -> None:
+        q = self.coded
+        near = (self.codes @ c.wide_codes().T).astype(np.float64) * q.scale[:, None] * c.scale
         # |x.y - x'.y'| <= |e||y'| + |x'||f| + |e||f| for x = x' + e, y = y' + f
         bound = np.outer(q.error, c.length + c.error) + np.outer(q.length, c.error)
         bound += 1e-9 * np.outer(q.length, c.length)
@@ -74,58 +78,28 @@ class Searcher:
             scores = np.einsum("ij,ij->i", q.exact[r], c.exact[o])
             for i, score, other in zip(r.tolist(), scores.tolist(), ids[o].tolist()):
                 heap, entry = self.heaps[i], (score, -other)
+                if score < self.floors[i]:
+                    continue
                 if len(heap) < self.k:
                     heapq.heappush(heap, entry)
                 elif entry > heap[0]:
                     heapq.heapreplace(heap, entry)
-        self.least = np.array([h[0][0] if len(h) == self.k else -np.inf for h in self.heaps])
-
-    def results(self) -> Iterator[tuple[int, int, float]]:
-        for query, heap in zip(self.ids.tolist(), self.heaps):
-            for score, other in heap:
-                yield query, -other, score
-
-
-def matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-
-
-def search_units(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, int, float]]:
-    """Rows ``unit, width, kind, id, vector`` sorted by the first three; queries are kind 0."""
-    key, queries, searcher = None, [], None
-    for batch in batches:
-        heads = list(zip(*(batch.column(i).to_numpy().tolist() for i in range(3))))
-        at = 0
-        while at < len(heads):
-            end = at + 1
-            while end < len(heads) and heads[end] == heads[at] and end - at < TILE:
-                end += 1
-            unit, width, kind = heads[at]
-            if (unit, width) != key:
-                if searcher:
-                    yield from searcher.results()
-                key, queries, searcher = (unit, width), [], None
-            ids = batch.column(3).slice(at, end - at).to_numpy()
-            vectors = matrix(batch.column(4).slice(at, end - at), width)
-            if kind == 0:
-                queries.append((ids, vectors))
-            else:
-                if queries and not searcher:
-                    searcher = Searcher(*map(np.concatenate, zip(*queries)), k)
-                if searcher:
-                    searcher.add(ids, vectors)
-            at = end
-    if searcher:
-        yield from searcher.results()
-
-
-def usable_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    some = F.exists(v, lambda x: x != 0)
-    good = vectors.where(F.col(key).isNotNull() & F.coalesce(finite & some, F.lit(False)))
-    picked = good.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    return picked.groupBy("id").agg(F.min("v").alias("v")).withColumn("width", F.size("v"))
+        kth = [h[0][0] if len(h) == self.k else -np.inf for h in self.heaps]
+        self.least = np.maximum(self.floors, kth)
+
+
+def search_block(
+    queries: dict[str, np.ndarray], candidates: dict[str, np.ndarray], floors: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    asked, offered = Coded(queries["v"]), Coded(candidates["v"])
+    found: list[tuple[int, int, float]] = []
+    for at in range(0, len(floors), TILE):
+        searcher = Searcher(queries["id"][at : at + TILE], asked.tile(at), floors[at : at + TILE], k)
+        for start in range(0, len(candidates["id"]), TILE):
+            searcher.add(candidates["id"][start : start + TILE], offered.tile(start))
+        found += [(q, -other, score) for q, heap in zip(searcher.ids.tolist(), searcher.heaps) for score, other in heap]
+    ids, others, scores = zip(*found) if found else ((), (), ())
+    return np.array(ids, np.int64), np.array(others, np.int64), np.array(scores, np.float64)
 
 
 def nearest(
@@ -136,27 +110,8 @@ def nearest(
     Queries are the rows whose id is divisible by ``every``; every other row is
     a candidate.
     """
-    spark = vectors.sparkSession
-    all_rows = usable_vectors(vectors, key, vector)
-    is_query = F.col("id") % every == 0
-    n, queries = all_rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    query_groups = max(1, -(-queries // QUERY_GROUP))
-    # At least as many units as tasks, and no candidate group beyond its size.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(-(-n // CANDIDATE_GROUP), -(-tasks // query_groups))
-    unit = lambda q, c: (q * F.lit(groups) + c).cast("long").alias("unit")
-    q_group = F.pmod(F.xxhash64("id"), F.lit(query_groups))
-    c_group = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(groups))
-    asked = all_rows.where(is_query).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    offered = all_rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
-    rows = asked.select(unit(q_group, F.col("c")), "width", F.lit(0).alias("kind"), "id", "v").unionByName(
-        offered.select(unit(F.col("q"), c_group), "width", F.lit(1).alias("kind"), "id", "v")
-    )
-    dealt = rows.repartition("unit").sortWithinPartitions("unit", "width", "kind")
-    arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    found = map_rows(
-        dealt, lambda batches: search_units(batches, k), "query_id long, vec_id long, score double", arrow
+    scratch = Scratch(vectors.sparkSession)
+    rows = scratch.store(usable_vectors(vectors, key, vector, zeros=False), "vectors").df
+    return block_search(
+        rows, F.col("id") % every == 0, k, lambda q, c, floors: search_block(q, c, floors, k), "double", scratch
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
