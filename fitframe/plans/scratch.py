@@ -3,7 +3,7 @@
 A stored table cuts the lineage: a lost executor costs a re-read and never a replay
 of earlier steps. The tables of one run are managed tables of a database of its own,
 located in the folder that ``spark.checkpoint.dir`` names, so dropping them deletes
-their files.
+their files. The shuffle files that led to a table go as soon as it is written.
 
 A bucketed table keeps rows of equal keys in the same bucket. Tables with the same
 number of buckets over the same keys join and aggregate by them without a shuffle.
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 WAREHOUSE_SETTING = "spark.sql.warehouse.dir"
+# Shuffle files go when the query that wrote them ends, not when the driver collects its garbage.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _open_scopes: ContextVar[tuple[list["Scratch"], ...]] = ContextVar("open_scopes", default=())
 
@@ -71,7 +73,12 @@ class Scratch:
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.name} LOCATION '{self.root}'")
         self._count += 1
         table = f"{self.name}.t{self._count:05d}_{name.replace('-', '_')}"
-        writer.format("parquet").saveAsTable(table)
+        before = self.spark.conf.get(CLEANUP_SETTING, "false")
+        self.spark.conf.set(CLEANUP_SETTING, "true")
+        try:
+            writer.format("parquet").saveAsTable(table)
+        finally:
+            self.spark.conf.set(CLEANUP_SETTING, before)
         return StoredTable(self.spark.table(table), table, f"{self.root}/{table.partition('.')[2]}")
 
     def discard(self, table: "StoredTable") -> None:
