@@ -13,10 +13,10 @@ off these rows:
   longer phrase is never more frequent than the phrases in it, so one word more on
   either side is all that has to be looked at.
 
-Lengths follow one another. A phrase that is met often enough consists of two
-phrases, one word shorter, that are too: those of each length set the bits of a
-filter of fixed size that the next pass over the text is sent. Bits that are set
-for another phrase by accident only cost rows, as counts are compared after merging.
+Lengths follow one another, the last two together. A phrase that is met often enough
+consists of two phrases, one word shorter, that are too: those of each length set the
+bits of a filter of fixed size that the next pass over the text is sent. Bits that are
+set for another phrase by accident only cost rows, as counts are compared after merging.
 Arithmetic is on 38 digits.
 
 Defined cases: a null text has no words, a null language is ``und``; repeated rows
@@ -31,15 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fitframe.llm.common import map_rows
 from fitframe.llm.hashing import mixed
 from fitframe.plans.scratch import Scratch
 
 LONGEST = 5
-FLUSH_BYTES = 8 << 20
+TOGETHER = 4
+FLUSH_BYTES = 4 << 20
+ROWS = 1 << 16
 FILTER_BITS = 1 << 25
 SALTS = 64
 NO_LANGUAGE = "und"
@@ -65,13 +68,13 @@ def stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[li
     -1 - language, and count as prefixes only.
     """
     tokens: list[bytes] = []
-    marks: list[np.ndarray] = []
+    marks: list[tuple[int, int]] = []  # number and how many tokens have it
     languages: dict[str, int] = {}
     size = 0
     for batch in batches:
-        for text, lang in zip(batch.column(0), batch.column(1)):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            number = languages.setdefault(lang_name(lang), len(languages))
+        texts, langs = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()
+        for data, lang in zip(texts, langs):
+            lang, data = NO_LANGUAGE if lang is None else lang, data or b""
             before: list[bytes] = []
             start = 0
             while start < len(data):
@@ -81,23 +84,19 @@ def stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[li
                     later = [at for c in SPLITS if (at := data.find(c, start + most)) >= 0]
                     end = cut + 1 if cut > start else min(later, default=len(data) - 1) + 1
                 part = tokens_of(data[start:end])
-                tokens += [*before, *part, END]
-                own = np.full(len(before) + len(part) + 1, number, np.int32)
-                own[: len(before)] = -1 - number
-                marks.append(own)
+                number = languages.setdefault(lang, len(languages))
+                tokens += before
+                tokens += part
+                tokens.append(END)
+                marks += [(-1 - number, len(before)), (number, len(part) + 1)]
                 size += end - start
                 before = (before + part)[1 - LONGEST :] if end < len(data) else []
                 start = end
                 if size >= most:
-                    yield tokens, np.concatenate(marks), list(languages)
-                    tokens, marks, languages, size = [], [], {lang_name(lang): 0}, 0
-                    number = 0
+                    yield tokens, np.repeat(*np.array(marks).T), list(languages)
+                    tokens, marks, languages, size = [], [], {}, 0
     if tokens:
-        yield tokens, np.concatenate(marks), list(languages)
-
-
-def lang_name(lang: pa.Scalar) -> str:
-    return NO_LANGUAGE if not lang.is_valid else lang.as_py()
+        yield tokens, np.repeat(*np.array(marks).T), list(languages)
 
 
 def word_hash(word: bytes) -> int:
@@ -114,50 +113,83 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
+def numbered(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the number of each key among them."""
+    if below > 4 * len(keys) + (1 << 20):
+        return np.unique(keys, return_inverse=True)
+    present = np.zeros(below, bool)
+    present[keys] = True
+    number = np.cumsum(present) - 1
+    return np.flatnonzero(present), number[keys]
+
+
 def stripes(
-    tokens: list[bytes], marks: np.ndarray, languages: list[str], filters: list[np.ndarray]
-) -> Iterator[tuple[str, str, str, int]]:
-    """``lang, prefix, next, count`` for all prefixes of ``len(filters)`` words that the filters let pass."""
+    tokens: list[bytes], marks: np.ndarray, languages: list[str], filters: list[np.ndarray], longest: int
+) -> Iterator[pa.RecordBatch]:
+    """``entry, f`` of the phrases the filters let pass.
+
+    There is a filter for every length up to some; phrases of one word more come back,
+    and all longer ones up to ``longest`` whose every part of that length passes.
+    """
     coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary
     code = coded.indices.to_numpy().astype(np.int64)
     size = len(words)
-    hashes = np.array([word_hash(w) for w in words], np.uint64)
     fresh, lang = marks >= 0, np.where(marks < 0, -1 - marks, marks).astype(np.int64)
-    valid = code != (words.index(END) if END in words else -1)
+    end = words.index(pa.scalar(END)).as_py()
+    where = np.flatnonzero(code != end)
+    texts = words.cast(options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
 
-    # Level by level: the prefix at each place as a number, and whether the words so far may be frequent.
-    where = np.flatnonzero(valid)
+    # Length by length: the phrase at each place as a number, as long as its parts pass.
     prefix = lang
-    prefix_hash = np.array([word_hash(name.encode()) for name in languages], np.uint64)
     chains: list[tuple[np.ndarray, np.ndarray]] = []
-    for length, bits in enumerate(filters, 1):
-        last = where + length - 1
-        distinct, number = np.unique(prefix[where] * size + code[last], return_inverse=True)
+    hashes = prefix_hash = None
+    if filters:
+        hashes = np.array([word_hash(w) for w in words.to_pylist()], np.uint64)
+        prefix_hash = np.array([word_hash(name.encode()) for name in languages], np.uint64)
+    for length in range(1, longest + 1):
+        keys = prefix[where] * size + code[where + length - 1]
+        if length > len(filters):
+            new = fresh[where + length - 1]
+            distinct, number = numbered(keys[new], (int(prefix.max(initial=0)) + 1) * size)
+            counts = np.bincount(number, minlength=len(distinct))
+            yield _entries(distinct, counts, size, texts, languages, chains)
+            if length == longest:
+                return
+        distinct, number = numbered(keys, (int(prefix.max(initial=0)) + 1) * size)
         chains.append((distinct // size, distinct % size))
-        prefix_hash = longer_hash(prefix_hash[distinct // size], hashes[distinct % size])
-        good = passes(bits, prefix_hash)
+        good = np.ones(len(distinct), bool)
+        if length <= len(filters):
+            prefix_hash = longer_hash(prefix_hash[distinct // size], hashes[distinct % size])
+            good = passes(filters[length - 1], prefix_hash)
         placed = np.full(len(code), -1, np.int64)
-        placed[where] = np.where(good[number], number, -1)
+        kept = good[number]
+        placed[where[kept]] = number[kept]
         # One word longer: this phrase and the one that begins a word later must both be left.
-        where = where[(good[number]) & (where + length < len(code))]
+        where = where[kept & (where + length < len(code))]
         where = where[placed[where + 1] >= 0]
         prefix = placed
-    length = len(filters)
-    where = where[fresh[where + length]]
-    distinct, counts = np.unique(prefix[where] * size + code[where + length], return_counts=True)
-    texts = [w.decode("utf-8", "surrogatepass") for w in words]
-    for key, count in zip(distinct.tolist(), counts.tolist()):
-        at, following = divmod(key, size)
-        before = []
-        for prefixes, lasts in reversed(chains):
-            before.append(texts[lasts[at]])
-            at = prefixes[at]
-        yield languages[at], " ".join(reversed(before)), texts[following], count
 
 
-def phrase(prefix: str = "prefix", word: str = "next") -> Column:
-    return F.when(F.col(prefix) == "", F.col(word)).otherwise(F.concat_ws(" ", prefix, word))
+def _entries(distinct, counts, size, texts, languages, chains) -> pa.RecordBatch:
+    """Prefix, next word and language as one text, between tabs: neither of the first two can hold one."""
+    at, following = distinct // size, distinct % size
+    before = []
+    for prefixes, lasts in reversed(chains):
+        before.append(texts.take(pa.array(lasts[at])))
+        at = prefixes[at]
+    prefix = pc.binary_join_element_wise(*reversed(before), " ") if before else pa.scalar("")
+    lang = pa.array(languages, pa.string()).take(pa.array(at))
+    entry = pc.binary_join_element_wise(prefix, texts.take(pa.array(following)), lang, "\t")
+    return pa.RecordBatch.from_arrays([entry, pa.array(counts.astype(np.int64))], names=["entry", "f"])
+
+
+def opened(entries: DataFrame) -> DataFrame:
+    """``lang, length, prefix, next, phrase, f`` of ``entry, f``."""
+    split = entries.select(F.split("entry", "\t", 3).alias("part"), "f")
+    split = split.selectExpr("part[2] AS lang", "part[0] AS prefix", "part[1] AS next", "f")
+    phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
+    return split.select("lang", F.size(F.split(phrase, " ")).alias("length"), "prefix", "next", phrase.alias("phrase"), "f")
 
 
 def filter_of(frequent: DataFrame) -> np.ndarray:
@@ -187,26 +219,28 @@ def frequent_stripes(
     """``lang, length, prefix, next, phrase, f`` of all phrases with f >= ``least``, and ``lang, n``."""
     spark = documents.sparkSession
     texts = documents.select("text", "lang")
-    arrow = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("next", pa.string()), ("f", pa.int64())])
     filters: list[np.ndarray] = []
     levels: list[DataFrame] = []
-    for length in range(1, longest + 1):
+    # Phrases of all lengths beyond ``TOGETHER`` come from one pass.
+    passes_to = [*range(1, min(longest, TOGETHER)), longest]
+    for upto in passes_to:
         sent = spark.sparkContext.broadcast(list(filters))
 
-        def formed(batches, sent=sent):
+        def formed(batches, sent=sent, upto=upto):
             for tokens, marks, languages in stretches(batches, flush):
-                yield from stripes(tokens, marks, languages, sent.value)
+                for entries in stripes(tokens, marks, languages, sent.value, upto):
+                    for at in range(0, entries.num_rows, ROWS):
+                        yield entries.slice(at, ROWS)
 
-        entries = map_rows(texts, formed, "lang string, prefix string, next string, f long", arrow)
-        merged = entries.groupBy("lang", "prefix", "next").agg(F.sum("f").alias("f"))
-        if length == 1:
+        entries = texts.mapInArrow(formed, "entry string, f long")
+        merged = entries.groupBy("entry").agg(F.sum("f").alias("f"))
+        if upto == 1:
             # The whole vocabulary, for the totals.
             merged = scratch.store(merged, "words").df
-            totals = merged.groupBy("lang").agg(F.sum("f").alias("n"))
-        often = merged.where(F.col("f") >= least)
-        often = often.select("lang", F.lit(length).alias("length"), "prefix", "next", phrase().alias("phrase"), "f")
-        levels.append(scratch.store(often, f"phrases-{length}").df)
-        if length < longest:
+            totals = opened(merged).groupBy("lang").agg(F.sum("f").alias("n"))
+        often = opened(merged.where(F.col("f") >= least))
+        levels.append(scratch.store(often, f"phrases-{upto}").df)
+        if upto < longest:
             filters.append(filter_of(levels[-1].select("lang", "phrase")))
     every = levels[0]
     for level in levels[1:]:
