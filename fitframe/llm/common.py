@@ -61,6 +61,14 @@ def scored_by(function: Callable[[list[str]], np.ndarray], text: Column, step: i
     return score(text)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, salts: int = 16) -> DataFrame:
     """Inner join with ``right``, which has one row per key, over keys that may be hot in ``left``.
 
@@ -90,7 +98,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges = edges.where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
-    edges = scratch.store(edges.distinct(), "edges").df
+    held = scratch.store(edges.distinct(), "edges")
+    edges = held.df
     if edges.isEmpty():
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     levels = []
@@ -106,7 +115,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         right = chosen.select(F.col("v").alias("b"), F.col("m").alias("mb"))
         rest = edges.join(left, "a").select("b", "ma").join(right, "b").where("ma <> mb")
         rest = rest.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"))
-        edges = scratch.store(rest.distinct(), "edges").df
+        after = scratch.store(rest.distinct(), "edges")
+        scratch.discard(held)
+        held, edges = after, after.df
         if edges.isEmpty():
             break
     root = levels.pop()
@@ -131,55 +142,64 @@ def map_rows(
 
 
 def linked_members(
-    lists: DataFrame, members: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch,
-    fits: Callable[[Column, Column], Column] = lambda s, t: F.lit(True),
+    lists: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch,
+    members: DataFrame | None = None, fits: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """``id, component`` of the members that link to another one.
 
-    ``lists(id, token)`` says under which tokens a member of ``members(id, w, s, l)``
-    is met. Two members are candidates when they meet under at least as many
-    tokens as the smaller of their ``l`` and ``fits`` holds for their sketches
-    ``s``. ``verified`` turns candidates ``hub, member`` into those that link.
-
-    First, members are verified against the first member of their lists only, by
-    weight ``w``, then by id: the one that all others of a group were most likely
-    made from. Each member tries the one it meets most often. What links is one
-    component. Then the pairs of a list that are still in different components
-    follow, all of them; a pair within one component can change nothing any more.
+    ``lists(id, token, w)`` says under which tokens a member is met, and its weight.
+    Two members are candidates when they meet; with ``members(id, s, l)``, when they
+    meet under at least as many tokens as the smaller of their ``l`` and ``fits`` holds
+    for their sketches ``s``. ``verified`` turns candidates ``hub, member`` into those
+    that link.
+
+    First, members are verified against the member of most weight of their lists only:
+    the one that all others of a group were most likely made from. Each member tries
+    the one it meets most often. What links is one component. Then the pairs of a list
+    that are still in different components follow, all of them; a pair within one
+    component can change nothing any more.
     """
-    shared = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
-    active = scratch.store(lists.select("token", "id").join(shared, "token"), "lists").df
-    weighed = active.join(members.select("id", "w"), "id")
-    tops = weighed.groupBy("token").agg(F.max(F.struct("w", "id"))["id"].alias("top"))
-    active = scratch.store(active.join(tops, "token"), "tops").df
-
-    own, other = members.select("id", "s", "l"), members.select(F.col("id").alias("hub"), F.col("s").alias("t"), F.col("l").alias("o"))
-    met = active.where("id <> top").groupBy("id", F.col("top").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
-    met = met.join(own, "id").join(other, "hub").where(fits(F.col("s"), F.col("t")) & (F.col("times") >= F.least("l", "o")))
-    best = met.groupBy("id").agg(F.max(F.struct("times", "hub")).alias("b"))
-    first = scratch.store(best.select("b.hub", F.col("id").alias("member")), "pairs").df
+    # Ties are broken by a hash, so that one member is the first of all its lists.
+    weight = F.col("w") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
+    tops = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max_by("id", weight).alias("top"))
+    # Few tokens are shared: those fit a hash table per partition, and the long lists need no sort.
+    active = lists.select("token", "id").join(tops.where("size > 1").select("token", "top").hint("shuffle_hash"), "token")
+    active = scratch.store(active, "lists")
+
+    def enough(met: DataFrame, a: str, b: str) -> DataFrame:
+        if members is None:
+            return met
+        own, other = members.toDF(a, "s", "l"), members.toDF(b, "t", "o")
+        met = met.join(own, a).join(other, b).where(F.col("times") >= F.least("l", "o"))
+        return met.where(fits(F.col("s"), F.col("t")))
+
+    met = active.df.where("id <> top").groupBy("id", F.col("top").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
+    most = F.col("times") + F.pmod(F.xxhash64("hub"), F.lit(1 << 20)) / float(1 << 20)
+    best = enough(met, "id", "hub").groupBy("id").agg(F.max_by("hub", most).alias("hub"))
+    first = scratch.store(best.select("hub", F.col("id").alias("member")), "pairs")
     edges = lambda pairs: pairs.select(F.col("hub").alias("a"), F.col("member").alias("b"))
-    known = scratch.store(components(edges(verified(first)), scratch), "known").df
-
-    place = active.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    bulk = known.select(F.col("id").alias("top"), F.col("component").alias("bulk"))
-    place = place.join(bulk, "top", "left").withColumn("bulk", F.coalesce("bulk", "top"))
-    place = place.select("token", "id", "component", (F.col("component") != F.col("bulk")).alias("apart"))
-    place = scratch.store(place, "places").df
-    away = place.where("apart")
-    place = scratch.store(place.join(away.select("token").distinct(), "token", "left_semi").join(own, "id"), "mixed").df
-    away = place.where("apart").select(
-        "token", F.col("id").alias("a"), F.col("s").alias("sa"), F.col("l").alias("la"), F.col("component").alias("ca")
-    )
-    # Of two members outside the list's first component, the pair counts once.
-    pairs = away.join(place, "token").where(
-        (F.col("ca") != F.col("component")) & (~F.col("apart") | (F.col("a") < F.col("id")))
-        & fits(F.col("sa"), F.col("s"))
-    )
-    met = pairs.groupBy(F.least("a", "id").alias("member"), F.greatest("a", "id").alias("hub")).agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.least("la", "l")).alias("least")
-    )
-    second = scratch.store(met.where("times >= least").select("hub", "member"), "pairs").df
+    known = scratch.store(components(edges(verified(first.df)), scratch), "known").df
+
+    place = active.df.select("token", "id").join(known.hint("shuffle_hash"), "id", "left")
+    place = scratch.store(place.select("token", "id", F.coalesce("component", "id").alias("component")), "places")
+    mixed = place.df.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    place = place.df.join(mixed.where("lo <> hi").select("token"), "token", "left_semi")
+    if members is not None:
+        place = place.join(members.select("id", "s"), "id")
+    place = scratch.store(place, "mixed")
+    scratch.discard(active)
+    left, right = (place.df.select("token", *(F.col(c).alias(f"{c}_{side}") for c in place.df.columns if c != "token")) for side in "ab")
+    pairs = left.join(right, "token").where("component_a < component_b")
+    if members is None:
+        met = pairs.select(F.col("id_a").alias("hub"), F.col("id_b").alias("member")).distinct()
+    else:
+        pairs = pairs.where(fits(F.col("s_a"), F.col("s_b")))
+        met = pairs.groupBy(F.col("id_a").alias("hub"), F.col("id_b").alias("member")).agg(F.count(F.lit(1)).alias("times"))
+        sizes = members.select("id", "l")
+        met = met.join(sizes.toDF("hub", "l"), "hub").join(sizes.toDF("member", "o"), "member")
+        met = met.where(F.col("times") >= F.least("l", "o")).select("hub", "member")
+    second = scratch.store(met, "pairs").df
+    scratch.discard(place)
     if second.isEmpty():
         return known
     old = known.select(F.col("id").alias("a"), F.col("component").alias("b"))

@@ -1,77 +1,76 @@
 """Fuzzy removal of repeated lines, with built-in functions only.
 
-A line's signature is the least hashes of its character shingles. To keep the
-signature cheap its shingles are those of ``WIDE`` characters that start at a word,
-or at every character where words are long; verification uses all shingles of
-``NARROW`` characters. Bands are the pairs of signature entries: two lines are
-candidates if their signatures share two entries, which for lines of Jaccard
-similarity 0.8 happens in about 97 of 100 cases and above 0.9 in more than 99.
-Candidates whose longer signatures share fewer than two fifths are left out.
-Equal lines are one class from the start and never become candidates. Candidates
-whose exact similarity is at least ``least_alike`` link, components of links are
-found by distributed union-find, and of each component only one line stays: the
+Equal lines are one class from the start, told from others by 128 bits of hashes. A
+class's signature is the ``ENTRIES`` least hashes of its character shingles. To keep
+the signature cheap its shingles are those of ``WIDE`` characters that start at a word,
+or at every character where words are long; verification uses the 32-bit hashes
+of all shingles of ``NARROW`` characters. Bands are the pairs of the first ``BANDED`` entries: two classes
+are candidates if these share two, which for lines of Jaccard similarity 0.8 happens in
+about 97 of 100 cases and above 0.9 in more than 99. Candidates are left out whose whole
+signatures share less than half, or whose numbers of shingles lie far apart.
+Candidates whose exact similarity is at least ``least_alike`` link, components of links
+are found by distributed union-find, and of each component only one line stays: the
 first by document id, then by place.
 
 Defined cases: lines shorter than ``least_chars`` are neither removed nor compared,
-blank ones included; null texts stay null and empty ones empty; a document
-whose every line goes is empty afterwards and, in ``without_repeated_lines``,
-leaves the table; rows without an id come last in the order of ids, equal ids
-go by row; extra columns pass through, unless their name starts with ``_line``.
+blank ones included, so equal short lines all stay; null texts stay null and empty ones
+empty; a document whose every line goes is empty afterwards and, in
+``without_repeated_lines``, leaves the table; rows without an id come last in the order
+of ids, equal ids go by row; extra columns pass through under any name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fitframe.llm.common import linked_members
+from fitframe.llm.common import free_name, linked_members
 from fitframe.plans.scratch import Scratch
 
 NARROW, WIDE = 5, 9
-ENTRIES, SKETCH = 4, 16
-LEAST_SHARED = 0.4
+ENTRIES, BANDED = 8, 4
+LEAST_SHARED, LEAST_RATIO = 0.5, 0.6
 LONG_WORDS = 12
-SENT_ROWS = 500_000
 LAST = (1 << 63) - 1
 
 
-def shingles(text: Column, width: int, where: str = "") -> Column:
-    """All runs of ``width`` characters, or the whole text if it is shorter.
-
-    ``where`` is a condition on their beginning, as a regular expression.
-    """
-    return F.regexp_extract_all(text, F.lit(f"(?s){where}(?=(.{{1,{width}}}))"), F.lit(1))
+def shingles(text: Column, width: int) -> Column:
+    """The runs of up to ``width`` characters that start at a word."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{width}}}))[^ ]+ *"), F.lit(1))
 
 
-def all_shingles(text: Column, width: int) -> Column:
+def all_shingles(text: Column, width: int, hashed=F.xxhash64) -> Column:
+    """The distinct hashes of the runs of ``width`` characters, or of the whole text if it is shorter."""
     runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
-    return F.when(F.length(text) < width, F.array(text)).otherwise(F.array_distinct(runs))
+    return distinct_hashes(F.when(F.length(text) < width, F.array(text)).otherwise(runs), hashed)
+
+
+def distinct_hashes(texts: Column, hashed=F.xxhash64) -> Column:
+    return F.array_distinct(F.transform(texts, lambda s: hashed(s)))
 
 
-def signature(line: Column) -> Column:
-    """The ``SKETCH`` least distinct hashes of a line's shingles, ascending."""
-    at_words = shingles(line, WIDE, r"(?<![^ ])(?! )")
-    everywhere = all_shingles(line, WIDE)
+def signature_shingles(line: Column) -> Column:
     words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    chosen = F.when(F.length(line) > words * LONG_WORDS, everywhere).otherwise(at_words)
-    hashes = F.transform(chosen, lambda s: F.xxhash64(s))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    at_words = distinct_hashes(shingles(line, WIDE))
+    return F.when(F.length(line) > words * LONG_WORDS, all_shingles(line, WIDE)).otherwise(at_words)
 
 
-def bands(entries: Column) -> Column:
-    """A key per pair of signature entries; the entry itself if there is one only."""
+def entry_names() -> list[str]:
+    return [f"e{i}" for i in range(ENTRIES)]
+
+
+def bands() -> Column:
+    """A key per pair of the first signature entries; the entry itself if there is one only."""
+    entries = [F.col(e) for e in entry_names()[:BANDED]]
     pairs = [
-        F.xxhash64(F.get(entries, F.lit(i)), F.get(entries, F.lit(j))) for i in range(ENTRIES) for j in range(i + 1, ENTRIES)
-    ]
-    present = [F.when(F.size(entries) > j, p) for p, j in zip(pairs, [j for i in range(ENTRIES) for j in range(i + 1, ENTRIES)])]
-    single = F.when(F.size(entries) == 1, F.get(entries, F.lit(0)))
-    return F.array_compact(F.array(*present, single))
+        F.when(entries[j].isNotNull(), F.xxhash64(entries[i], entries[j]))
+        for i in range(BANDED) for j in range(i + 1, BANDED)
+    ]
+    return F.array_compact(F.array(*pairs, F.when(entries[1].isNull(), entries[0])))
 
 
 def lines_of(numbered: DataFrame, least_chars: int) -> DataFrame:
-    """``_line_row, _line_order, at, line``: the lines that are compared."""
-    split = numbered.select(
-        "_line_row", "_line_order", F.posexplode(F.split("text", "\n")).alias("at", "line")
-    )
+    """``row, order, at, line``: the lines that are compared."""
+    split = numbered.select("row", "order", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return split.where(F.length("line") >= least_chars)
 
 
@@ -80,99 +79,122 @@ def line_keys() -> list[Column]:
     return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
 
 
-def verified_lines(
-    numbered: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, least_chars: int, least_alike: float
+def line_classes(numbered: DataFrame, least_chars: int) -> DataFrame:
+    """``id, h, g, row, at, size, n, e0 ..``: equal lines, one place of theirs, and their signature."""
+    hashes = signature_shingles(F.col("line"))
+    keyed = lines_of(numbered, least_chars).select("row", "at", *line_keys(), hashes.alias("hashes"))
+    keyed = keyed.select("row", "at", "h", "g", F.size("hashes").alias("n"), F.sort_array("hashes").alias("hashes"))
+    entries = [F.get("hashes", F.lit(i)).alias(e) for i, e in enumerate(entry_names())]
+    keyed = keyed.select("row", "at", "h", "g", "n", *entries)
+    # Equal lines have equal entries, so any aggregate of them will do. All buffers are
+    # numbers, which hash aggregation combines before the shuffle without sorting.
+    classes = keyed.groupBy("h", "g").agg(
+        F.min("row").alias("row"), F.min_by("at", "row").alias("at"), F.count(F.lit(1)).alias("size"), *(F.min(c).alias(c) for c in ("n", *entry_names()))
+    )
+    return classes.select(F.monotonically_increasing_id().alias("id"), "*")
+
+
+def may_be_alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The candidates ``hub, member`` whose signatures are alike enough."""
+    sketch = classes.select("id", "n", F.array_compact(F.array(*entry_names())).alias("entries"))
+    both = sketch.toDF("member", "na", "a").join(pairs.hint("shuffle_hash"), "member")
+    both = sketch.toDF("hub", "nb", "b").join(both.hint("shuffle_hash"), "hub")
+    shared = F.size(F.array_intersect("a", "b")) >= LEAST_SHARED * F.least(F.size("a"), F.size("b"))
+    sizes = F.least("na", "nb") >= LEAST_RATIO * F.greatest("na", "nb")
+    return both.where(sizes & shared).select("hub", "member")
+
+
+def alike_lines(
+    pairs: DataFrame, numbered: DataFrame, classes: DataFrame, scratch: Scratch, least_alike: float
 ) -> DataFrame:
     """The candidates ``hub, member`` whose lines are alike, by all their shingles."""
-    sketch = classes.select("id", "entries")
-    both = pairs.join(sketch.toDF("member", "a"), "member").join(sketch.toDF("hub", "b"), "hub")
-    close = F.size(F.array_intersect("a", "b")) >= LEAST_SHARED * F.least(F.size("a"), F.size("b"))
-    pairs = scratch.store(both.where(close).select("hub", "member"), "close").df
-    wanted = pairs.select(F.explode(F.array("hub", "member")).alias("id")).distinct()
-    wanted = scratch.store(wanted.join(classes.select("id", "row", "at"), "id"), "wanted").df
-    # Sent to the lines up to a fixed number of rows; beyond that the lines are joined.
-    side = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
-    lines = lines_of(numbered, least_chars).select(F.col("_line_row").alias("row"), "at", "line")
-    whole = F.transform(all_shingles(F.col("line"), NARROW), lambda s: F.xxhash64(s))
-    texts = scratch.store(lines.join(side, ["row", "at"]).select("id", whole.alias("whole")), "texts").df
-    sets = pairs.join(texts.toDF("member", "a"), "member").join(texts.toDF("hub", "b"), "hub")
+    ids = pairs.select(F.explode(F.array("hub", "member")).alias("id")).distinct()
+    # Only these lines are cut out of their texts, which stay where they are.
+    wanted = classes.select("id", "row", "at").join(ids.hint("shuffle_hash"), "id").select("row", F.struct("id", "at").alias("w"))
+    wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
+    texts = numbered.select("row", F.split("text", "\n").alias("lines")).join(wanted.hint("shuffle_hash"), "row")
+    lines = texts.select("lines", F.explode("wanted").alias("w")).select("w.id", F.get("lines", F.col("w.at")).alias("line"))
+    sets = scratch.store(lines.select("id", all_shingles(F.col("line"), NARROW, F.hash).alias("whole")), "sets")
+    both = pairs.join(sets.df.toDF("member", "a"), "member").join(sets.df.toDF("hub", "b"), "hub")
     common = F.size(F.array_intersect("a", "b"))
     alike = common >= least_alike * (F.size("a") + F.size("b") - common)
-    return scratch.store(sets.where(alike).select("hub", "member"), "links").df
+    links = scratch.store(both.where(alike).select("hub", "member"), "links").df
+    scratch.discard(sets)
+    return links
 
 
-def line_verdicts(
-    documents: DataFrame, least_chars: int = 20, least_alike: float = 0.8
+def removed_lines(
+    numbered: DataFrame, scratch: Scratch, least_chars: int, least_alike: float
 ) -> DataFrame:
-    """The columns of ``documents`` with ``_line_removed``: the places of the lines that go.
+    """``row, removed``: the places of the lines that go, from 0 and ascending."""
+    classes = scratch.store(line_classes(numbered, least_chars), "classes").df
+    lists = classes.select("id", F.col("size").cast("double").alias("w"), F.explode(bands()).alias("token"))
 
-    Places count from 0 and ascend; the array is null where every line stays.
-    """
-    scratch = Scratch(documents.sparkSession)
-    numbered = documents.select(
-        "*",
-        F.monotonically_increasing_id().alias("_line_row"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_line_order"),
-    )
-    numbered = scratch.store(numbered, "numbered").df
-    lines = lines_of(numbered, least_chars)
-    place = F.struct(F.col("_line_order").alias("order"), F.col("_line_row").alias("row"), "at")
-    entries = signature(F.col("line"))
-    keyed = lines.select(*line_keys(), place.alias("place"), entries.alias("entries"))
-    classes = keyed.groupBy("h", "g").agg(
-        F.min("place").alias("place"), F.first("entries").alias("entries"), F.count(F.lit(1)).alias("size")
-    )
-    classes = classes.select(
-        F.monotonically_increasing_id().alias("id"), "h", "g", "place.order", "place.row", "place.at", "size", "entries"
-    )
-    classes = scratch.store(classes, "classes").df
-
-    lists = classes.select("id", F.explode(bands(F.col("entries"))).alias("token"))
-    members = classes.select("id", F.col("size").alias("w"), F.lit(0).alias("s"), F.lit(1).alias("l"))
-    check = lambda pairs: verified_lines(numbered, classes, pairs, scratch, least_chars, least_alike)
-    linked = scratch.store(linked_members(lists, members, check, scratch), "linked").df
-    grouped = classes.join(linked, "id", "left").where("size > 1 OR component IS NOT NULL")
-    grouped = grouped.select("h", "g", "order", "row", "at", F.coalesce("component", "id").alias("component"))
+    def check(pairs: DataFrame) -> DataFrame:
+        close = scratch.store(may_be_alike(pairs, classes), "close").df
+        return alike_lines(close, numbered, classes, scratch, least_alike)
+
+    linked = linked_members(lists, check, scratch)
+    grouped = classes.select("id", "h", "g", "size").join(linked, "id", "left").where("size > 1 OR component IS NOT NULL")
+    grouped = grouped.select("h", "g", F.coalesce("component", "id").alias("component"))
     grouped = scratch.store(grouped, "grouped").df
-    first = grouped.groupBy("component").agg(F.min(F.struct("order", "row", "at")).alias("first"))
-    kept = grouped.join(first, "component").select(
-        "h", "g", F.col("first.row").alias("kept_row"), F.col("first.at").alias("kept_at")
-    )
-    kept = scratch.store(kept, "kept").df
-    own = lines.select(*line_keys(), "_line_row", "at")
-    gone = own.join(kept, ["h", "g"]).where("_line_row <> kept_row OR at <> kept_at")
-    removed = gone.groupBy("_line_row").agg(F.sort_array(F.collect_list("at")).alias("_line_removed"))
-    return numbered.join(removed, "_line_row", "left").drop("_line_row", "_line_order")
+    # Every place of a line that has others like it.
+    own = lines_of(numbered, least_chars).select(*line_keys(), "row", "order", "at").join(grouped, ["h", "g"])
+    own = scratch.store(own.select("component", "row", "order", "at"), "own").df
+    first = own.groupBy("component").agg(F.min(F.struct("order", "row", "at")).alias("first"))
+    first = first.select("component", F.col("first.row").alias("kept_row"), F.col("first.at").alias("kept_at"))
+    gone = own.join(first, "component").where("row <> kept_row OR at <> kept_at")
+    return gone.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("removed"))
+
+
+def with_removed(documents: DataFrame, least_chars: int, least_alike: float) -> tuple[DataFrame, str]:
+    """``documents`` and a column with the places of the lines that go, null where all stay; its name."""
+    scratch = Scratch(documents.sparkSession)
+    row, removed = free_name(documents, "row"), free_name(documents, "removed")
+    numbered = documents.withColumn(row, F.monotonically_increasing_id())
+    # Bucketed by row: texts are shuffled once, and not again when lines are looked up or removed.
+    buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = scratch.store_bucketed(numbered, "numbered", [row], buckets).df
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    plain = numbered.select(F.col(row).alias("row"), order.alias("order"), "text")
+    gone = removed_lines(plain, scratch, least_chars, least_alike).toDF(row, removed)
+    return numbered.join(gone.hint("shuffle_hash"), row, "left").drop(row), removed
 
 
 def without_places(text: Column, removed: Column) -> Column:
     """``text`` without the lines at these ascending places, by the stretches between them."""
-    lines = F.split(text, "\n")
-    edges = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(lines)))
-    stretches = F.transform(
-        F.sequence(F.lit(1), F.size(edges) - 1),
-        lambda i: F.slice(
-            lines, F.element_at(edges, i) + 2, F.element_at(edges, i + 1) - F.element_at(edges, i) - 1
-        ),
-    )
-    return F.when(removed.isNull(), text).otherwise(F.array_join(F.flatten(stretches), "\n"))
+
+    def rest(lines: Column) -> Column:
+        edges = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(lines)))
+        return F.array_join(F.flatten(F.zip_with(
+            edges, F.slice(edges, 2, F.size(edges) - 1),
+            lambda start, end: F.slice(lines, start + 2, F.coalesce(end - start - 1, F.lit(0))),
+        )), "\n")
+
+    # A lambda's argument is computed once, however often it is used.
+    once = F.transform(F.array(F.split(text, "\n")), rest)
+    return F.when(removed.isNull(), text).otherwise(F.get(once, F.lit(0)))
 
 
-def deduplicated(documents: DataFrame, **options) -> DataFrame:
-    """Every row of ``documents``, ``text`` without repeated lines, and ``_line_removed``."""
-    found = line_verdicts(documents, **options)
-    return found.withColumn("text", without_places(F.col("text"), F.col("_line_removed")))
+def deduplicated(documents: DataFrame, least_chars: int = 20, least_alike: float = 0.8) -> DataFrame:
+    """Every row of ``documents``, ``text`` without repeated lines, and ``n_removed``, how many they were."""
+    found, removed = with_removed(documents, least_chars, least_alike)
+    count = F.when(F.col(removed).isNull(), F.lit(0)).otherwise(F.size(removed)).cast("long")
+    text = without_places(F.col("text"), F.col(removed))
+    own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c != "n_removed"]
+    return found.select(*own, count.alias("n_removed"))
 
 
-def without_repeated_lines(documents: DataFrame, **options) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, least_chars: int = 20, least_alike: float = 0.8) -> DataFrame:
     """``documents`` with such texts; rows that lost their every line are left out.
 
     A column ``n_chars`` follows the new text.
     """
-    found = deduplicated(documents, **options)
-    emptied = F.col("_line_removed").isNotNull() & (F.trim("text") == "")
-    kept = found.where(~emptied)
+    found, removed = with_removed(documents, least_chars, least_alike)
+    found = found.withColumn("text", without_places(F.col("text"), F.col(removed)))
+    found = found.where(F.col(removed).isNull() | (F.trim("text") != ""))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        kept = kept.withColumn("n_chars", F.when(F.col("_line_removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return kept.select(*documents.columns)
+        length = F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        found = found.withColumn("n_chars", length.cast(kind))
+    return found.select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -4,9 +4,10 @@ Two sets link when ``100 * |A & B| >= percent * |A | B|``. All links between
 different sets are honoured; the result is each document's connected component.
 
 1. Documents with equal sets form a class; one row per class goes on.
-2. N-grams are put in one order for all: by how often they were met, then by hash.
-   Frequent ones come from local counts; their number is bounded and they only
-   change the order, never the result.
+2. N-grams are put in one order for all: by how often they are met in the corpus, then
+   by hash. How often comes from a sketch of fixed size, counters that n-grams share by
+   hash: what a counter holds beyond an even share. It only changes the order and the
+   choice of prefixes, never the result.
 3. If two sets link, their (n - o + l)-prefixes in this order share at least l
    n-grams, where o = ceil(percent/100 * n). Each set picks the l for which the
    estimated cost is least: a longer prefix makes longer lists, but a pair then has
@@ -31,13 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fitframe.llm.common import linked_members, map_rows
+from fitframe.llm.common import free_name, linked_members, map_rows
 from fitframe.llm.hashing import mixed, shingle_set
 from fitframe.plans.scratch import Scratch
 
-MOST_FREQUENT = 1 << 16
+#: Counters of the sketch, and how many of them travel in one row.
+COUNTERS, CHUNK = 1 << 22, 1 << 16
 FLUSH = 1 << 20
-LEAST_COUNT = 4
 LONGEST = 8
 VERIFY_COST = 30.0
 BITMAP, SMALL = 2048, 512
@@ -45,24 +46,59 @@ MEMBERS = 512
 SENT_ROWS = 500_000
 
 
-def local_counts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, int]]:
-    """N-grams met in at least ``LEAST_COUNT`` texts of a stretch, with their counts there."""
+def place_in_sketch(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def local_sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, bytes]]:
+    """``chunk, counters`` of a task's texts, a byte each; a full byte stays full."""
+    counters = np.zeros(COUNTERS, np.uint8)
     held, size = [], 0
 
-    def counted():
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= LEAST_COUNT
-        yield from zip(tokens[often].view(np.int64).tolist(), counts[often].tolist())
+    def add():
+        met = np.bincount(place_in_sketch(np.concatenate(held)), minlength=COUNTERS)
+        np.copyto(counters, np.minimum(met + counters, 255), casting="unsafe")
 
     for batch in batches:
         for text in batch.column(0):
             held.append(shingle_set(text.as_py(), k))
             size += len(held[-1])
             if size >= FLUSH:
-                yield from counted()
+                add()
                 held, size = [], 0
     if size:
-        yield from counted()
+        add()
+    for at in range(0, COUNTERS, CHUNK):
+        part = counters[at : at + CHUNK]
+        if part.any():
+            yield at // CHUNK, part.tobytes()
+
+
+def merged_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """The sums of rows ``chunk, counters`` that come in the order of chunks."""
+    current, total = None, None
+    for batch in batches:
+        for chunk, counters in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            if chunk != current:
+                if total is not None:
+                    yield current, total.tobytes()
+                current, total = chunk, np.zeros(CHUNK, np.uint32)
+            total += np.frombuffer(counters, np.uint8)
+    if total is not None:
+        yield current, total.tobytes()
+
+
+def corpus_sketch(documents: DataFrame, k: int) -> np.ndarray:
+    """How often the n-grams of each counter are met beyond an even share, at most 65,535."""
+    arrow = pa.schema([("chunk", pa.int32()), ("counters", pa.binary())])
+    parts = map_rows(documents.select("text"), lambda b: local_sketch(b, k), "chunk int, counters binary", arrow)
+    dealt = parts.repartition("chunk").sortWithinPartitions("chunk")
+    counters = np.zeros(COUNTERS, np.int64)
+    # A fixed number of counters, whatever the corpus.
+    for row in map_rows(dealt, merged_sketch, "chunk int, counters binary", arrow).collect():
+        counters[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counters"], np.uint32)
+    even = counters.mean()
+    return np.clip(counters - int(even + 3 * np.sqrt(even)), 0, 65_535).astype(np.uint16)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -72,19 +108,15 @@ def least_overlap(n: int, percent: int) -> int:
 class Prefixes:
     """The common order of n-grams and the choice of a set's prefix."""
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, percent: int):
-        self.frequent, self.counts, self.percent = frequent, counts, percent
+    def __init__(self, sketch: np.ndarray, percent: int):
+        self.sketch, self.percent = sketch, percent
 
     def of(self, tokens: np.ndarray) -> tuple[int, np.ndarray, float]:
-        """``l``, the prefix for it, and how often the set's n-grams were met on average."""
+        """``l``, the prefix for it, and how often the set's n-grams are met on average."""
         n = len(tokens)
         overlap = least_overlap(n, self.percent)
         first = n - overlap  # a prefix has this many n-grams and l more
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
-            met = np.where(self.frequent[at] == tokens, self.counts[at], 0)
-        else:
-            met = np.zeros(n, np.int64)
+        met = self.sketch[place_in_sketch(tokens)].astype(np.int64)
         order = np.lexsort((tokens, met)) if met.any() else np.arange(n)
         most = min(LONGEST, overlap)
         lists = np.cumsum(met[order[: first + most]])[first:]
@@ -140,6 +172,19 @@ def set_rows(batches: Iterator[pa.RecordBatch], k: int, prefixes: Prefixes) -> I
             )
 
 
+def role_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """``hub, salt, member, tokens`` for rows ``text_key, text, hub, salt, member``; each role once, also of repeated rows."""
+    seen, current, tokens = set(), None, b""
+    for batch in batches:
+        for i, role in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)))):
+            if role in seen:
+                continue
+            seen.add(role)
+            if role[0] != current:
+                current, tokens = role[0], shingle_set(batch.column(1)[i].as_py(), k).tobytes()
+            yield *role[1:], tokens
+
+
 def verified_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int]]:
     """Rows ``hub, salt, member, tokens`` in order; a group's first row (null member) is the hub's set."""
     group = hub_set = None
@@ -164,16 +209,7 @@ def near_duplicates(documents: DataFrame, k: int = 4, percent: int = 85) -> Data
 def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scratch]:
     spark = documents.sparkSession
     scratch = Scratch(spark)
-    counted = map_rows(
-        documents.select("text"), lambda b: local_counts(b, k), "token long, met long",
-        pa.schema([("token", pa.int64()), ("met", pa.int64())]),
-    )
-    # A fixed number of n-grams, for the order only.
-    top = counted.groupBy("token").agg(F.sum("met").alias("met")).orderBy(F.desc("met"), "token").limit(MOST_FREQUENT)
-    top = top.toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    prefixes = Prefixes(tokens[order], top["met"].to_numpy(np.int64)[order], percent)
+    prefixes = Prefixes(corpus_sketch(documents, k), percent)
 
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key"), "text")
@@ -189,17 +225,17 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scra
     sets = scratch.store(sets, "sets").df
     same = sets.where("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("least"),
-        F.first("text_key").alias("text_key"), F.first("n").alias("n"), F.first("l").alias("l"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.first("l").alias("l"),
         F.first("w").alias("w"), F.first("bits").alias("bits"), F.first("small").alias("small"), F.first("prefix").alias("prefix"),
     )
     same = scratch.store(same.withColumn("id", F.monotonically_increasing_id()), "classes").df
 
     sketch = F.struct("n", *(F.get("small", F.lit(i)).alias(f"b{i}") for i in range(SMALL // 64)))
-    members = same.select("id", "w", sketch.alias("s"), "l")
-    lists = same.select("id", F.explode("prefix").alias("token"))
+    members = same.select("id", sketch.alias("s"), "l")
+    lists = same.select("id", "w", F.explode("prefix").alias("token"))
     fits = lambda s, t: may_link(s, t, percent)
     check = lambda pairs: verified(documents, same, pairs, scratch, k, percent)
-    linked = linked_members(lists, members, check, scratch, fits)
+    linked = linked_members(lists, check, scratch, members, fits)
     # The least document of each component, then of each class.
     roots = same.select("id", "key", "least").join(linked, "id", "left")
     roots = roots.withColumn("root", F.coalesce("component", "id"))
@@ -234,25 +270,17 @@ def verified(
     roles = salted.select(F.col("member").alias("id"), "hub", "salt", "member").unionByName(
         salted.select(F.col("hub").alias("id"), "hub", "salt", none).distinct()
     )
-    roles = scratch.store(roles.join(same.select("id", "text_key"), "id").drop("id"), "roles").df
+    # Of a set's copies one document gives the set, the one with the least id.
+    one = same.select("id", F.col("one.doc_id").alias("one"), F.col("one.text_key").alias("text_key"))
+    roles = scratch.store(roles.join(one, "id").drop("id"), "roles").df
     # Sent to the texts up to a fixed number of rows; beyond that the texts are joined.
     side = F.broadcast(roles) if roles.count() <= SENT_ROWS else roles
-    texts = documents.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").join(side, "text_key")
-
-    def rows(batches):
-        seen, current, tokens = set(), None, None  # copies of a text go once from a task
-        for batch in batches:
-            for key, text, hub, part, member in zip(*(batch.column(i) for i in range(5))):
-                if key != current:
-                    current, known = key, key.as_py() in seen
-                    seen.add(key.as_py())
-                    tokens = None if known else shingle_set(text.as_py(), k).tobytes()
-                if tokens is not None:
-                    yield hub.as_py(), part.as_py(), member.as_py(), tokens
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text")
+    texts = texts.join(side, (F.col("own") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("one")))
 
     arrow = pa.schema([("hub", pa.int64()), ("salt", pa.int32()), ("member", pa.int64()), ("tokens", pa.binary())])
     sets = map_rows(
-        texts.select("text_key", "text", "hub", "salt", "member"), rows,
+        texts.select("text_key", "text", "hub", "salt", "member"), lambda b: role_sets(b, k),
         "hub long, salt int, member long, tokens binary", arrow,
     )
     dealt = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("member"))
@@ -269,19 +297,16 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     The row with the smallest id stays, of equal ids the one with the least text.
     Rows without words all stay. All columns are kept.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark)
-    columns = documents.columns
-    numbered = scratch.store(documents.withColumn("_row", F.monotonically_increasing_id()), "rows").df
+    scratch = Scratch(documents.sparkSession)
+    row = free_name(documents, "row")
+    numbered = scratch.store(documents.withColumn(row, F.monotonically_increasing_id()), "rows").df
     # Row numbers stand in for ids, so that missing and repeated ids make no difference.
-    ranked = numbered.select(F.col("_row").alias("doc_id"), "text")
+    ranked = numbered.select(F.col(row).alias("doc_id"), "text")
     grouped, _ = classes(ranked, k, percent)
-    members = grouped.where("n_shingles > 0").join(
-        numbered.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id"
-    )
-    first = members.groupBy("component_id").agg(
-        F.min_by("doc_id", F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id"))).alias("keep")
-    )
-    dropped = members.join(first, "component_id").where("doc_id <> keep")
-    gone = scratch.store(dropped.select(F.col("doc_id").alias("_row")), "gone").df
-    return numbered.join(gone, "_row", "left_anti").select(*columns)
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    members = grouped.where("n_shingles > 0").withColumnRenamed("doc_id", "row").join(ids, "row")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    first = members.groupBy("component_id").agg(F.min_by("row", order).alias("keep"))
+    dropped = members.join(first, "component_id").where("row <> keep")
+    gone = scratch.store(dropped.select(F.col("row").alias(row)), "gone").df
+    return numbered.join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))

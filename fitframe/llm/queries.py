@@ -64,8 +64,7 @@ def op8_line_dedup(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
     found = deduplicated(documents.withColumn("n_lines", lines.cast("long")))
-    removed = F.when(F.col("_line_removed").isNull(), 0).otherwise(F.size("_line_removed"))
-    return found.select("doc_id", "n_lines", removed.cast("long").alias("n_removed"), "text")
+    return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op9_bpe(spark, sf_dir):

@@ -1,13 +1,17 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from odd_rows import with_clashes
 from fitframe.llm.common import components
-from fitframe.llm.line_dedup import deduplicated, without_repeated_lines
-from fitframe.llm.ngram_join import bitmap, bitmap_size, differing_bits, near_duplicates, one_of_each
+from fitframe.llm.line_dedup import deduplicated, with_removed, without_repeated_lines
+from fitframe.llm.hashing import shingle_set
+from fitframe.llm.ngram_join import (
+    bitmap, bitmap_size, corpus_sketch, differing_bits, near_duplicates, one_of_each, place_in_sketch, role_sets,
+)
 from fitframe.llm.neighbours import nearest
 from fitframe.plans.scratch import Scratch
 
@@ -144,16 +148,19 @@ def test_line_dedup(spark, odd_documents, no_documents):
         (None, LINES[2]),
     ]
     documents = with_clashes(spark.createDataFrame(rows, "doc_id long, text string"))
-    found = {r["doc_id"]: (r["text"], r["_line_removed"]) for r in deduplicated(documents).collect()}
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in deduplicated(documents).collect()}
     assert found == {
-        1: (f"{LINES[0]}\nshort", [2]),
-        2: (f"{LINES[2]}\nshort", [0]),
-        3: ("", [0]),
-        4: (None, None),
-        5: ("", None),
-        6: ("\n\n", None),
-        None: ("", [0]),
+        1: (f"{LINES[0]}\nshort", 1),
+        2: (f"{LINES[2]}\nshort", 1),
+        3: ("", 1),
+        4: (None, 0),
+        5: ("", 0),
+        6: ("\n\n", 0),
+        None: ("", 1),
     }
+    marked, removed = with_removed(documents, 20, 0.8)
+    places = {r["doc_id"]: r[removed] for r in marked.collect()}
+    assert places == {1: [2], 2: [0], 3: [0], 4: None, 5: None, 6: None, None: [0]}
     kept = without_repeated_lines(documents)
     assert kept.columns == documents.columns
     assert {r["doc_id"] for r in kept.collect()} == {1, 2, 4, 5, 6}
@@ -168,10 +175,43 @@ def char_shingles(line):
     return {line[i : i + 5] for i in range(max(len(line) - 4, 1))}
 
 
+def test_edited_lines_are_found(spark):
+    """Pairs of edited lines alone: at least 97 of 100 with a similarity of 0.8 or more are candidates that link."""
+    random = np.random.default_rng(11)
+    words = ["".join(random.choice(list("abcdefghijklmnop"), int(n))) for n in random.integers(2, 10, 3000)]
+    rows, wanted = [], 0
+    for pair in range(3000):
+        line = [words[i] for i in random.integers(0, 3000, int(random.integers(6, 60)))]
+        edited = list(line)
+        for at in random.integers(0, len(line), max(1, len(line) // 25)):
+            edited[at] = words[random.integers(0, 3000)]
+        a, b = " ".join(line), " ".join(edited)
+        x, y = char_shingles(a), char_shingles(b)
+        both = len(x & y)
+        if a != b and both >= 0.8 * (len(x) + len(y) - both):
+            rows += [(2 * pair, a), (2 * pair + 1, b)]
+            wanted += 1
+    assert wanted > 1000
+    found = deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0")
+    gone = [r["doc_id"] for r in found.collect()]
+    assert all(d % 2 for d in gone) and len(gone) >= 0.97 * wanted
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["row", "_row", "ROWS", "removed", "order", "at", "_line_row", "id", "h"]
+    rows = [(i, f"{LINES[0]} {i // 2}", *(f"{n}{i}" for n in names)) for i in range(6)]
+    documents = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for kept in (without_repeated_lines(documents), one_of_each(documents)):
+        assert kept.columns == documents.columns
+        assert {r["doc_id"]: tuple(r)[2:] for r in kept.collect()}.items() <= {r[0]: r[2:] for r in rows}.items()
+        assert kept.count() >= 1
+
+
 def test_similar_lines_are_found(spark, small):
     """Against all pairs: what goes is like an earlier line; few alike lines stay apart."""
     documents = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 150").select("doc_id", "text")
-    removed = {r["doc_id"]: set(r["_line_removed"] or []) for r in deduplicated(documents).collect()}
+    marked, removed = with_removed(documents, 20, 0.8)
+    removed = {r["doc_id"]: set(r[removed] or []) for r in marked.collect()}
     lines = []
     for r in documents.orderBy("doc_id").collect():
         lines += [(r["doc_id"], at, line) for at, line in enumerate((r["text"] or "").split("\n")) if len(line) >= 20]
@@ -194,3 +234,20 @@ def test_similar_lines_are_found(spark, small):
     wanted = {lines[i][:2] for i in range(len(lines)) if find(i) != i}
     found = {(d, at) for d, places in removed.items() for at in places}
     assert found <= wanted and len(found) >= 0.97 * len(wanted)
+
+
+def test_copies_give_their_set_once():
+    """200 copies of a hub and 100 edited texts: 101 sets travel, one for each role."""
+    roles = [(1, "a b c d e f", 7, 0, None)] * 200 + [(10 + i, f"a b c d e {i}", 7, 0, 10 + i) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c) for c in zip(*roles)], names=["text_key", "text", "hub", "salt", "member"]
+    )
+    assert len(list(role_sets(iter([batch, batch]), 4))) == 101
+
+
+def test_sketch_counts_texts(spark):
+    rows = [(f"common words in every text {i} and {i * 7} more {i * 13} of them",) for i in range(3000)]
+    sketch = corpus_sketch(spark.createDataFrame(rows, "text string").repartition(7), 4)
+    met = sketch[place_in_sketch(shingle_set(rows[0][0], 4))]
+    # A counter of a task is a byte.
+    assert min(sorted(met)[-2:]) >= 7 * 250 and (sketch > 8).sum() < 40
