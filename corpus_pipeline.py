@@ -17,7 +17,7 @@ from fitframe.llm.line_dedup import without_repeated_lines
 from fitframe.llm.mixing import mixed_documents
 from fitframe.llm.ngram_join import one_of_each
 from fitframe.llm.toxicity import without_toxic
-from fitframe.plans.scratch import Scratch
+from fitframe.plans.scratch import Scratch, StoredTable, temporary_tables
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -60,9 +60,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again.
+
+    What a stage stored on its way goes when its result is written, and so does the
+    result when the next one is.
+    """
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: StoredTable | None = None
     for name, stage in STAGES:
-        docs = scratch.store(stage(spark, docs, sf_dir), name).df
+        with temporary_tables():
+            after = scratch.store(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.discard(before)
+        before, docs = after, after.df
     return docs
