@@ -101,6 +101,17 @@ class StoredTable:
         self.path = path
 
 
+@contextmanager
+def collected_tables() -> Iterator[list[Scratch]]:
+    """A list that gets every ``Scratch`` made inside, for a caller that deletes them later."""
+    made: list[Scratch] = []
+    token = _open_scopes.set((*_open_scopes.get(), made))
+    try:
+        yield made
+    finally:
+        _open_scopes.reset(token)
+
+
 @contextmanager
 def temporary_tables() -> Iterator[None]:
     """Delete at the end the tables of every ``Scratch`` that was made inside.
@@ -109,10 +120,9 @@ def temporary_tables() -> Iterator[None]:
     may read its stored tables.
     """
     made: list[Scratch] = []
-    token = _open_scopes.set((*_open_scopes.get(), made))
     try:
-        yield
+        with collected_tables() as made:
+            yield
     finally:
-        _open_scopes.reset(token)
         for scratch in made:
             scratch.discard_all()
