@@ -157,7 +157,10 @@ def with_removed(documents: DataFrame, least_chars: int, least_alike: float) ->
     numbered = scratch.store_bucketed(numbered, "numbered", [row], buckets).df
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     plain = numbered.select(F.col(row).alias("row"), order.alias("order"), "text")
-    gone = removed_lines(plain, scratch, least_chars, least_alike).toDF(row, removed)
+    work = Scratch(documents.sparkSession)
+    gone = removed_lines(plain, work, least_chars, least_alike).toDF(row, removed)
+    gone = scratch.store(gone, "gone").df
+    work.discard_all()
     return numbered.join(gone.hint("shuffle_hash"), row, "left").drop(row), removed
 
 

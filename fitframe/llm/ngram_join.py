@@ -208,13 +208,14 @@ def verified_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
 
 def near_duplicates(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``documents``."""
-    grouped, _ = classes(documents.select("doc_id", "text"), k, percent)
-    return grouped
+    spark = documents.sparkSession
+    scratch, work = Scratch(spark), Scratch(spark)
+    found = scratch.store(classes(documents.select("doc_id", "text"), k, percent, work), "found").df
+    work.discard_all()
+    return found
 
 
-def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scratch]:
-    spark = documents.sparkSession
-    scratch = Scratch(spark)
+def classes(documents: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     prefixes = Prefixes(corpus_sketch(documents, k), percent)
 
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -252,7 +253,7 @@ def classes(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scra
     members = sets.select("doc_id", "n", "key")
     found = members.join(by_class, "key", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), scratch
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def verified(
@@ -309,7 +310,7 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     numbered = scratch.store(documents.withColumn(row, F.monotonically_increasing_id()), "rows").df
     # Row numbers stand in for ids, so that missing and repeated ids make no difference.
     ranked = numbered.select(F.col(row).alias("doc_id"), "text")
-    grouped, _ = classes(ranked, k, percent)
+    grouped = near_duplicates(ranked, k, percent)
     ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
     members = grouped.where("n_shingles > 0").withColumnRenamed("doc_id", "row").join(ids, "row")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
