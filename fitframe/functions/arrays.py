@@ -17,6 +17,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 PACKED_CHUNK = 1 << 15  # features collected and sorted by one task
 
 
+def checked(value: Column, holds: Column, message: str, *about: Column) -> Column:
+    """``value`` where ``holds``; elsewhere, null included, the job that reads it fails with the message."""
+    text = F.concat(F.lit(message), *(F.coalesce(a.cast("string"), F.lit("null")) for a in about))
+    return F.when(F.coalesce(holds, F.lit(False)), value).otherwise(F.raise_error(text))
+
+
 def dense_dot(x: str, w: str) -> str:
     """Sum of x[i] * w[i]. A position that only one side has counts as 0."""
     terms = f"zip_with({x}, {w}, (a, b) -> coalesce(a * b, 0D))"

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fitframe.functions.arrays import dense_dot, number_array, packed_vector
+from fitframe.functions.arrays import checked, dense_dot, number_array, packed_vector
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,15 @@ class DistributedMatrix:
 
     @staticmethod
     def from_cells(cells: DataFrame, num_rows: int, num_cols: int) -> "DistributedMatrix":
-        """From ``(idx, col, v)``. Missing cells are 0, repeated ones add up."""
+        """From ``(idx, col, v)``. Missing cells are 0, repeated ones add up.
+
+        A cell outside the sizes fails the job.
+        """
+        inside = F.col("idx").between(0, num_rows - 1) & F.col("col").between(0, num_cols - 1)
+        place = F.concat_ws(", ", F.col("idx").cast("string"), F.col("col").cast("string"))
+        cells = cells.select(
+            checked(F.col("idx"), inside, f"a cell outside of {num_rows} x {num_cols}: ", place).alias("idx"), "col", "v"
+        )
         unique = cells.groupBy("idx", "col").agg(F.sum("v").alias("v"))
         # At most num_cols cells per idx are left to collect here.
         stored = unique.groupBy("idx").agg(
@@ -57,10 +65,8 @@ class DistributedMatrix:
         )
 
     def append_column(self, vector: DataFrame) -> "DistributedMatrix":
-        """Add a ``(idx, v)`` vector as the last column."""
-        wider = self.rows.join(vector, "idx", "left").select(
-            "idx", F.concat("row", F.array(F.coalesce(F.col("v"), F.lit(0.0)))).alias("row")
-        )
+        """Add a ``(idx, v)`` vector as the last column. Both need the same indices."""
+        wider = self._with(vector.select("idx", F.array("v").alias("right")), "vector")
         return DistributedMatrix(wider, self.num_rows, self.num_cols + 1)
 
     def drop_first_column(self) -> "DistributedMatrix":
@@ -75,10 +81,16 @@ class DistributedMatrix:
         """The columns of this matrix, then those of ``other``."""
         if self.num_rows != other.num_rows:
             raise ValueError(f"{self.num_rows} rows against {other.num_rows}")
-        right = other.rows.withColumnRenamed("row", "right")
-        joined = self.rows.join(right, "idx").select("idx", F.concat("row", "right").alias("row"))
+        joined = self._with(other.rows.withColumnRenamed("row", "right"), "other matrix")
         return DistributedMatrix(joined, self.num_rows, self.num_cols + other.num_cols)
 
+    def _with(self, right: DataFrame, what: str) -> DataFrame:
+        """Rows extended by ``(idx, right)``; an index that only one side has fails the job."""
+        joined = self.rows.join(right, "idx", "full")
+        left = checked(F.col("row"), F.col("row").isNotNull(), "the matrix has no row ", F.col("idx"))
+        added = checked(F.col("right"), F.col("right").isNotNull(), f"the {what} has no row ", F.col("idx"))
+        return joined.select("idx", F.concat(left, added).alias("row"))
+
     def column(self, i: int) -> DataFrame:
         """Column ``i`` as a ``(idx, v)`` vector."""
         if not 0 <= i < self.num_cols:
@@ -119,6 +131,9 @@ class DistributedMatrix:
         def block_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((width, width))
             for batch in batches:
+                lengths = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+                if not (lengths == width).all():
+                    raise ValueError(f"a row that does not have {width} numbers")
                 block = batch.column(0).flatten().to_numpy(zero_copy_only=False)
                 block = block.reshape(-1, width)
                 total += block.T @ block

@@ -30,6 +30,7 @@ def evaluate(
     F = mean loss + reg/2 * |w|^2, gradient = mean derivative + reg * w. Both
     come from one pass over the cells.
     """
+    examples = examples.validated()
     p = examples.num_features
     scores = scores_for(examples, broadcast_features)
     full = completed(weights, p)
@@ -53,7 +54,7 @@ def evaluate(
 def objective(examples: Examples, weights: DataFrame, reg: float = 0.0, loss: Loss = LOGISTIC) -> DataFrame:
     """One row ``(examples, loss_sum, objective)``; no gradient is computed."""
     full = completed(weights, examples.num_features)
-    scored = scores_for(examples).add({"z": full})
+    scored = scores_for(examples.validated()).add({"z": full})
     squares = full.agg(F.sum(F.col("v") * F.col("v"))).scalar()
     totals = scored.agg(
         F.count(F.lit(1)).alias("examples"),

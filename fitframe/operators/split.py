@@ -33,9 +33,12 @@ def unit_hash(key: Column, seed: int = SEED) -> Column:
 def hash_split(
     df: DataFrame, key: str, weights: Sequence[float] = WEIGHTS, seed: int = SEED
 ) -> list[DataFrame]:
-    """Split by a hash of an integer key: a row stays on its side for good."""
+    """Split by a hash of an integer key: a row stays on its side for good.
+
+    Rows without a key have that of 0: every row is in one part.
+    """
     total, low, parts = sum(weights), 0.0, []
-    position = unit_hash(F.col(key), seed)
+    position = unit_hash(F.coalesce(F.col(key).cast("bigint"), F.lit(0)), seed)
     for i, weight in enumerate(weights):
         high = 1.0 if i == len(weights) - 1 else low + weight / total
         parts.append(df.where((position >= low) & (position < high)))

@@ -8,11 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fitframe.functions.arrays import checked
+
 
 def completed(vector: DataFrame, num_features: int) -> DataFrame:
-    """The vector with a row for each of the indices 0 .. num_features - 1."""
+    """The vector with a row for each of the indices 0 .. num_features - 1.
+
+    An index outside of them, or none, fails the job.
+    """
+    inside = F.col("given").between(0, num_features - 1)
+    given = vector.select(F.col("idx").cast("int").alias("given"), "v")
+    given = given.select(checked(F.col("given"), inside, f"an index outside of 0 to {num_features - 1}: ", F.col("given")).alias("idx"), "v")
     indices = vector.sparkSession.range(num_features).select(F.col("id").cast("int").alias("idx"))
-    return indices.join(vector, "idx", "left").select(
+    return indices.join(given, "idx", "left").select(
         "idx", F.coalesce(F.col("v"), F.lit(0.0)).alias("v")
     )
 

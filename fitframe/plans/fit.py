@@ -198,6 +198,7 @@ def fit(
         raise ValueError("num_corrections must be at least 1")
     joined = examples.num_features > broadcast_features
     cached = storage is not None and not joined and not examples.df.is_cached
+    examples = examples.validated()
     if cached:
         examples = examples.with_df(examples.df.persist(storage))
     scores = scores_for(examples, broadcast_features, storage=storage)

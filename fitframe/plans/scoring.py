@@ -74,12 +74,14 @@ class JoinScores:
         parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._scratch = Scratch(spark)
         self._tables = []
-        if examples.id_col is None:
-            # Generated ids must be the same in both layouts: store them once.
-            numbered = examples.df.withColumn("_row_id", F.monotonically_increasing_id())
-            stored = self._store(numbered, "examples")
-            examples = Examples(stored, examples.num_features, "_row_id")
-        id_col = examples.id_col
+        self._columns = examples.df.columns
+        # Rows get numbers of their own, as ids may be missing or repeat. They must be
+        # the same in both layouts: stored once.
+        id_col = "_row_id"
+        while id_col in self._columns:
+            id_col = f"_{id_col}"
+        numbered = examples.df.withColumn(id_col, F.monotonically_increasing_id())
+        examples = Examples(self._store(numbered, "examples"), examples.num_features, id_col)
 
         counts = examples.entries().groupBy("idx").agg(F.expr("count(1) AS n"))
         counts = self._store(counts, "feature-counts")
@@ -100,7 +102,6 @@ class JoinScores:
         # Sorted, so that no join with the cached layouts sorts them again.
         rows = rows.repartition(parts, id_col).sortWithinPartitions(id_col)
         rare = rare.repartition(parts, "idx").sortWithinPartitions("idx")
-        self._columns = examples.df.columns
         self._held = [rows, rare] if storage is not None else []
         for layout in self._held:
             layout.persist(storage)

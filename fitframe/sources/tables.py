@@ -19,7 +19,7 @@ def examples_from_columns(
         df.select(*kept, label.cast("double").alias("label"), values.alias("values")),
         len(features),
         id_col,
-    )
+    ).validated()
 
 
 def examples_from_array(
@@ -28,7 +28,8 @@ def examples_from_array(
 ) -> Examples:
     """Dense examples from one array column.
 
-    Without ``num_features`` the length of the first row's array is taken.
+    Without ``num_features`` one pass finds the longest array. Rows of another length fail
+    the job that reads them.
     """
     kept = [id_col] if id_col else []
     rows = df.select(
@@ -37,11 +38,10 @@ def examples_from_array(
         array.cast("array<double>").alias("values"),
     )
     if num_features is None:
-        first = rows.select(F.size("values").alias("n")).first()
-        if first is None:
+        num_features = rows.agg(F.max(F.size("values"))).first()[0]
+        if num_features is None:
             raise ValueError("no examples")
-        num_features = first["n"]
-    return Examples(rows, num_features, id_col)
+    return Examples(rows, num_features, id_col).validated()
 
 
 def examples_from_arrays(
@@ -56,4 +56,4 @@ def examples_from_arrays(
         indices.cast("array<int>").alias("indices"),
         values.cast("array<double>").alias("values"),
     )
-    return Examples(rows, num_features, id_col)
+    return Examples(rows, num_features, id_col).validated()
