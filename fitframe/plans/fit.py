@@ -1,19 +1,22 @@
 """Training: a driver loop over scalars, with all vectors in tables.
 
 Each step evaluates the data once and writes one state table (see
-``fitframe.plans.history`` for its columns). A second small job reads the inner
-products that decide the next direction from that table.
+``fitframe.plans.history`` for its columns). The inner products that decide the next
+direction are observed in the tasks that write it. State tables are bucketed by feature,
+all alike: a step's sums are shuffled to where the state is, and the state never is.
 """
 
 from __future__ import annotations
 
 import logging
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from fitframe.examples import Examples
 from fitframe.functions.arrays import number
@@ -30,6 +33,9 @@ from fitframe.plans.scratch import Scratch, StoredTable
 WARM_STEPS = 3
 WARM_SCALE = 0.5
 
+PARTITIONS_SETTING = "spark.sql.shuffle.partitions"
+FEATURES_OF_A_BLOCK = 1 << 16
+
 log = logging.getLogger("fitframe")
 
 TRACE_SCHEMA = T.StructType(
@@ -81,40 +87,49 @@ class _Iterate:
 
 
 class _Training:
-    def __init__(self, evaluation, examples, reg, num_corrections, num_blocks):
+    def __init__(self, evaluation, examples, reg, num_corrections, num_blocks, joined):
         self.evaluation = evaluation
         self.num_features = examples.num_features
         self.reg = reg
         self.num_corrections = num_corrections
-        self.num_blocks = num_blocks
         self.spark: SparkSession = examples.df.sparkSession
+        parts = int(self.spark.conf.get(PARTITIONS_SETTING))
+        # Where the weights are sent, only sums per feature are shuffled.
+        few = parts if joined else max(1, min(parts, examples.num_features // FEATURES_OF_A_BLOCK))
+        self.num_blocks = num_blocks or few
         self.scratch = Scratch(self.spark)
         self.num_examples = 0
 
     def start(self, initial: DataFrame | None) -> _Iterate:
         weights = initial_weights(self.spark, self.num_features, initial)
-        sums = self.scratch.store(self.evaluation.sums(weights), "sums")
-        first = sums.df.where(F.col("idx") == LOSS_ROW).first()
-        if first is None:
-            raise ValueError("no examples")
-        self.num_examples = first["cells"]
         loss_row = self.spark.range(1).selectExpr(f"{LOSS_ROW} AS idx", "0D AS v")
-        moved = self._blocks(weights.unionByName(loss_row)).withColumnRenamed("v", "w")
+        rows = weights.unionByName(loss_row).withColumnRenamed("v", "w")
+        first = self.scratch.store_bucketed(rows, "weights", ["idx"], self.num_blocks)
+        target = first.df.where(f"idx <> {LOSS_ROW}").selectExpr("idx", "w AS v")
+        sums = self.scratch.store(self.evaluation.sums(target), "sums")
+        counted = sums.df.where(F.col("idx") == LOSS_ROW).first()
+        if counted is None:
+            raise ValueError("no examples")
+        self.num_examples = counted["cells"]
         empty = "cast(array() AS array<double>)"
-        state = moved.join(sums.df, "idx", "left").selectExpr(
+        state = first.df.join(sums.df.hint("shuffle_hash"), "idx", "left").selectExpr(
             "idx", "w", f"{self._gradient()} AS g", f"{empty} AS s", f"{empty} AS t"
         )
-        table = self.scratch.store(state, "state")
+        table, observed = self._stored(state, 0)
         self.scratch.discard(sums)
-        rows = newest_products(table.df).collect()
-        squared = next(r["with_g"] for r in rows if r["pos"] == 0)
-        history = PairHistory.at_start(self.num_corrections, squared)
-        return _Iterate(table, history, self._value(rows))
+        self.scratch.discard(first)
+        history = PairHistory.at_start(self.num_corrections, observed["g_0"])
+        return _Iterate(table, history, self._value(observed))
 
     def step(self, at: _Iterate, coefficients: np.ndarray, length: float) -> _Iterate:
         """Evaluate at w + length * direction and store the state there."""
+        kept = min(at.history.num_pairs, self.num_corrections - 1)
+        table, observed = self._stored(self.next_state(at, coefficients, length), kept + 1)
+        return _Iterate(table, at.history.extended(observed), self._value(observed))
+
+    def next_state(self, at: _Iterate, coefficients: np.ndarray, length: float) -> DataFrame:
         move = combine(length * coefficients)
-        state = self._blocks(at.table.df)
+        state = at.table.df
         target = state.where(f"idx <> {LOSS_ROW}").selectExpr("idx", f"w + {move} AS v")
         sums = self.evaluation.sums(target)
         kept = min(at.history.num_pairs, self.num_corrections - 1)
@@ -123,8 +138,8 @@ class _Training:
         moved = state.selectExpr(
             "idx", "w AS old_w", "g AS old_g", "s", "t", f"{new_s} AS new_s"
         ).selectExpr("*", "old_w + new_s AS w")
-        next_state = (
-            moved.join(sums, "idx", "left")
+        return (
+            moved.join(sums.hint("shuffle_hash"), "idx", "left")
             .selectExpr("*", f"{self._gradient()} AS g")
             .selectExpr(
                 "idx",
@@ -134,9 +149,29 @@ class _Training:
                 f"concat(slice(t, {oldest}, {kept}), array(g - old_g)) AS t",
             )
         )
-        table = self.scratch.store(next_state, "state")
-        rows = newest_products(table.df).collect()
-        return _Iterate(table, at.history.extended(rows), self._value(rows))
+
+    def _stored(self, state: DataFrame, pairs: int) -> tuple[StoredTable, dict[str, float]]:
+        """The state as a table, and its newest products, from the tasks that write it."""
+        newest = Observation()
+        with self.settings():
+            table = self.scratch.store_bucketed(
+                state.observe(newest, *newest_products(pairs)), "state", ["idx"], self.num_blocks, aligned=True
+            )
+        return table, newest.get
+
+    @contextmanager
+    def settings(self) -> Iterator[None]:
+        """For a plan of a known shape: as many partitions as the state has buckets, and no
+        planning while it runs, which would make a job of every stage."""
+        mine = {PARTITIONS_SETTING: str(self.num_blocks), "spark.sql.adaptive.enabled": "false"}
+        before = {key: self.spark.conf.get(key) for key in mine}
+        try:
+            for key, value in mine.items():
+                self.spark.conf.set(key, value)
+            yield
+        finally:
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
 
     def search(self, at: _Iterate, coefficients: np.ndarray, slope: float):
         features = at.table.df.where(f"idx <> {LOSS_ROW}")
@@ -158,13 +193,8 @@ class _Training:
         mean = f"{total} / {number(float(self.num_examples))} + {number(self.reg)} * w"
         return f"if(idx = {LOSS_ROW}, {total}, {mean})"
 
-    def _value(self, rows: list) -> float:
-        loss = next(r["with_g"] for r in rows if r["pos"] == LOSS_ROW)
-        squares = max(rows, key=lambda r: r["pos"])["with_w"]
-        return loss / self.num_examples + 0.5 * self.reg * squares
-
-    def _blocks(self, df: DataFrame) -> DataFrame:
-        return df if self.num_blocks is None else df.repartition(self.num_blocks, "idx")
+    def _value(self, observed: dict[str, float]) -> float:
+        return observed["loss"] / self.num_examples + 0.5 * self.reg * observed["squares"]
 
 
 def fit(
@@ -187,8 +217,8 @@ def fit(
     discarded, so ``num_iters=K`` gives iterate K-1. Step K itself is only
     computed, for the trace, with ``compute_last``.
 
-    ``num_blocks`` partitions the state tables by feature (default: the session's
-    shuffle partitions). ``storage=None`` reads the examples from their source in
+    ``num_blocks`` partitions the state tables by feature (default: by their number; the
+    session's shuffle partitions where the weights are joined in). ``storage=None`` reads the examples from their source in
     each pass instead of caching them. Up to ``broadcast_features`` features the
     weights are sent whole to executors, beyond that they are joined in.
     """
@@ -204,7 +234,7 @@ def fit(
     scores = scores_for(examples, broadcast_features, storage=storage)
     try:
         training = _Training(
-            Evaluation(scores, loss), examples, reg, num_corrections, num_blocks
+            Evaluation(scores, loss), examples, reg, num_corrections, num_blocks, joined
         )
         return _run(training, num_iters, tol, initial, compute_last)
     finally:

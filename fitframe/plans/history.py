@@ -14,7 +14,7 @@ coefficients, a few hundred numbers, are on the driver.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from fitframe.functions.arrays import number
 from fitframe.plans.evaluation import LOSS_ROW
@@ -35,28 +35,21 @@ def combine(coefficients: np.ndarray) -> str:
     return f"({' + '.join(terms)})"
 
 
-def newest_products(state: DataFrame) -> DataFrame:
-    """``(pos, with_s, with_t, with_g, with_w)``, a row per basis vector.
+def newest_products(pairs: int) -> list[Column]:
+    """Sums over the state's rows, to be observed as it is written: ``pairs`` pairs are held.
 
-    Products of each basis vector with the newest pair, the gradient and the
-    iterate; the last position is the iterate itself. The products of older
-    vectors among themselves are known from earlier steps. At ``LOSS_ROW``,
-    ``with_g`` is the summed loss.
+    Products of each basis vector with the newest pair and with the gradient, by name
+    and place; that of the iterate with itself; and at ``LOSS_ROW`` the summed loss. The
+    products of older vectors among themselves are known from earlier steps.
     """
-    cells = state.selectExpr(
-        f"idx = {LOSS_ROW} AS is_loss",
-        "try_element_at(s, -1) AS new_s",
-        "try_element_at(t, -1) AS new_t",
-        "g",
-        "w",
-        f"posexplode(if(idx = {LOSS_ROW}, array(1D), concat({BASIS}, array(w)))) AS (place, v)",
-    )
-    return cells.groupBy(F.expr(f"if(is_loss, {LOSS_ROW}, place) AS pos")).agg(
-        F.expr("sum(v * new_s) AS with_s"),
-        F.expr("sum(v * new_t) AS with_t"),
-        F.expr("sum(v * g) AS with_g"),
-        F.expr("sum(v * w) AS with_w"),
-    )
+    vectors = [f"{name}[{k}]" for name in ("s", "t") for k in range(pairs)] + ["g"]
+    newest = {"g": "g"} | ({"s": f"s[{pairs - 1}]", "t": f"t[{pairs - 1}]"} if pairs else {})
+    feature = lambda product: F.expr(f"sum(if(idx = {LOSS_ROW}, 0D, {product}))")
+    products = [
+        feature(f"{v} * {other}").alias(f"{name}_{place}")
+        for place, v in enumerate(vectors) for name, other in newest.items()
+    ]
+    return [*products, feature("w * w").alias("squares"), F.expr(f"sum(if(idx = {LOSS_ROW}, g, 0D))").alias("loss")]
 
 
 class PairHistory:
@@ -85,7 +78,7 @@ class PairHistory:
             history.products[row["j"], row["i"]] = row["v"]
         return history
 
-    def extended(self, rows: list) -> "PairHistory":
+    def extended(self, newest: dict[str, float]) -> "PairHistory":
         """The history after a step, from that step's ``newest_products``."""
         kept = min(self.num_pairs, self.limit - 1)
         dropped = self.num_pairs - kept
@@ -98,12 +91,9 @@ class PairHistory:
         result.num_pairs = k
         result.products = np.zeros((2 * k + 1, 2 * k + 1))
         result.products[np.ix_(places, places)] = self.products[np.ix_(known, known)]
-        fresh = {"with_s": k - 1, "with_t": 2 * k - 1, "with_g": 2 * k}
-        for row in rows:
-            if 0 <= row["pos"] <= 2 * k:
-                for column, place in fresh.items():
-                    result.products[row["pos"], place] = row[column]
-                    result.products[place, row["pos"]] = row[column]
+        for name, place in (("s", k - 1), ("t", 2 * k - 1), ("g", 2 * k)):
+            for other in range(2 * k + 1):
+                result.products[other, place] = result.products[place, other] = newest[f"{name}_{other}"]
         return result
 
     def curvature(self, pair: int) -> float:

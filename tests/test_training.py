@@ -262,3 +262,58 @@ def test_nothing_stays_cached(spark, data):
 def test_without_a_cache(spark, data):
     model = fit(dense(spark, *data), num_iters=3, storage=None)
     assert objectives(model) == pytest.approx(train(*data, reg=0.01, num_iters=3, corrections=10)[0])
+
+
+def step_plan(spark, examples, **options):
+    """The physical plan of a step, as the training loop runs it."""
+    from fitframe.plans import fit as module
+
+    plans = []
+    real = module._Training.next_state
+
+    def seen(self, at, coefficients, length):
+        state = real(self, at, coefficients, length)
+        with self.settings():
+            plans.append(state._jdf.queryExecution().executedPlan().toString())
+        return state
+
+    module._Training.next_state = seen
+    try:
+        fit(examples, num_iters=5, **options)
+    finally:
+        module._Training.next_state = real
+    return plans[-1]
+
+
+def test_a_step_shuffles_sums_and_not_the_state(spark, data):
+    lines = step_plan(spark, dense(spark, *data), num_blocks=3).split("\n")
+    # Neither the vector's subquery nor what lies below the cached examples.
+    end = next(i for i, line in enumerate(lines) if "InMemoryRelation" in line)
+    main, inner = [], None
+    for line in lines[:end]:
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if inner is not None and depth > inner:
+            continue
+        inner = depth if "Subquery" in line and "scalar-subquery" in line and "Project" not in line else None
+        if inner is None:
+            main.append(line)
+    joined = next(i for i, line in enumerate(main) if "ShuffledHashJoin" in line)
+    state = next(i for i, line in enumerate(main) if "Scan parquet spark_catalog.fitframe" in line)
+    shuffled = [i for i, line in enumerate(main) if "Exchange" in line]
+    # The stored state comes under the join as it is; the one shuffle is that of the sums.
+    assert joined < state and len(shuffled) == 1 and state < shuffled[0]
+    assert "SelectedBucketsCount: 3 out of 3" in main[state]
+
+
+def test_a_step_is_few_jobs(spark, data):
+    examples = dense(spark, *data)
+    group = "steps-of-training"
+    tracker = spark.sparkContext.statusTracker()
+    counts = []
+    for iters in (4, 9):
+        spark.sparkContext.setJobGroup(f"{group}-{iters}", "")
+        model = fit(examples, num_iters=iters, tol=0)
+        assert model.num_steps == iters - 1
+        counts.append(len(tracker.getJobIdsForGroup(f"{group}-{iters}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] - counts[0] <= 5 * 3
