@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fitframe.functions.arrays import number_array
 from fitframe.functions.losses import Loss
-from fitframe.plans.scoring import BroadcastScores, JoinScores
+from fitframe.plans.scoring import SHORT_FEATURES, BroadcastScores, JoinScores
 
 # Index under which an evaluation reports the summed loss and, as its number
 # of cells, the number of examples.
@@ -38,6 +38,8 @@ class Evaluation:
         that every example has sends one row per partition.
         """
         scored = self.scores.add({"z": weights})
+        if not self.scores.examples.is_sparse and self.scores.examples.num_features <= SHORT_FEATURES:
+            return self._short_sums(scored)
         cells = scored.select(*self._per_example, *self._inputs).selectExpr(
             "residual", "loss", self._cells
         )
@@ -48,6 +50,16 @@ class Evaluation:
             F.expr(f"sum({part}) AS total"), F.expr("count(1) AS cells")
         )
 
+    def _short_sums(self, scored: DataFrame) -> DataFrame:
+        """For few dense features a sum for each, written out: no row is formed per cell."""
+        p = self.scores.examples.num_features
+        parts = scored.select(*self._per_example, "values")
+        sums = [f"sum(residual * get(values, {i})) AS g{i}" for i in range(p)]
+        row = parts.selectExpr("count(1) AS n", "sum(loss) AS total", *sums).where("n > 0")
+        cells = [f"struct({LOSS_ROW} AS idx, total, n AS cells)"]
+        cells += [f"struct({i} AS idx, g{i} AS total, n AS cells)" for i in range(p)]
+        return row.selectExpr(f"inline(array({', '.join(cells)}))")
+
     def losses_along(
         self, weights: DataFrame, direction: DataFrame, steps: Sequence[float]
     ) -> DataFrame:
