@@ -27,7 +27,7 @@ from fitframe.plans.job import split_examples
 from fitframe.plans.linesearch import first_acceptable, losses_at_steps
 from fitframe.plans.scoring import BroadcastScores
 from fitframe.plans.scratch import Scratch
-from fitframe.sources import num_features_frame, parse_libsvm
+from fitframe.sources import examples_from_columns, num_features_frame, parse_libsvm
 
 
 def rounded(column: str, digits: int = 6, name: str | None = None) -> Column:
@@ -141,6 +141,15 @@ def linear_score_joined(spark, sf_dir):
     return scored.select("o_orderkey", rounded("z"))
 
 
+def score_repeated_ids(spark, sf_dir):
+    """Ids that repeat (a key of several lines) or are missing, weights joined in."""
+    lines = t.read(spark, sf_dir, "lineitem").withColumn("key", F.expr("if(l_linenumber = 2, NULL, l_orderkey)"))
+    features = [F.col(c) for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")]
+    examples = examples_from_columns(lines, F.lit(1.0), features, id_col="key")
+    scored = linear_scores(examples, t.ramp(spark, 4), broadcast_features=0)
+    return scored.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("z")).select("key", "n", rounded("z"))
+
+
 def residual(spark, sf_dir):
     r = LOGISTIC.residual(F.col("label"), F.col("z")).alias("r")
     return scored_embeddings(spark, sf_dir).select("vec_id", r).select("vec_id", rounded("r"))
@@ -417,6 +426,17 @@ def end_to_end(spark, sf_dir):
     )
 
 
+def job_two_files(spark, sf_dir):
+    """From text files, one to train and one to test."""
+    lines = t.embedding_lines(spark, sf_dir)
+    root = Scratch(spark).root
+    paths = [f"{root}/{name}" for name in ("train", "test")]
+    for path, side in zip(paths, ("vec_id % 5 <> 0", "vec_id % 5 = 0")):
+        lines.where(side).select("value").write.text(path)
+    result = run_job(spark, *paths, reg=0.1, num_iters=60, tol=1e-14)
+    return result.scored.select("label", rounded("score", 3)).withColumn("auc", F.round(F.lit(result.auc), 2))
+
+
 def job_same_file(spark, sf_dir):
     """From text files, train and test path the same: a random 60/40 split."""
     path = written_lines(spark, sf_dir)
@@ -428,13 +448,13 @@ QUERIES = {
     query.__name__: query
     for query in (
         libsvm_parse, libsvm_drop, libsvm_load, feature_count, examples_onehot, dense_row,
-        split_counts, split_random, linear_score, linear_score_joined, residual, log_loss,
+        split_counts, split_random, linear_score, linear_score_joined, score_repeated_ids, residual, log_loss,
         example_gradient, gradient_dense, gradient_short, gradient_sparse, gradient_joined,
         vec_dot, vec_axpy, vec_scal, vec_norm2, vec_plus_minus, mat_append_drop, mat_concat,
         mat_column, mat_lastcol, mat_shape, mat_vector, mat_dense, mat_gram, vec_mat, mat_vec,
         two_loop_direction, armijo_grid, armijo_step, warm_start_3, train_trace,
         curvature_pairs, train_logistic, train_sparse, train_joined, score_test, auc,
-        auc_bands, roc_points, end_to_end, job_same_file,
+        auc_bands, roc_points, end_to_end, job_two_files, job_same_file,
     )
 }
 QUERIES["objective"] = objective_value

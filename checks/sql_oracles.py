@@ -189,12 +189,12 @@ def line_optimum() -> str:
 SELECT unnest(range(4))::int AS idx, {r("unnest(w)", 3)} AS v FROM final"""
 
 
-def embedding_job() -> str:
+def embedding_job(train: str, columns: str) -> str:
+    """Train where ``train`` holds, score the others."""
     score = "list_dot_product(w, x)"
-    side = SPLIT_HASH.format(key="vec_id")
     return f"""WITH RECURSIVE base AS (
   SELECT vec_id, CASE WHEN label >= 5 THEN 1.0::double ELSE 0.0::double END AS y,
-         embedding::double[] AS x, {side} < 0.6::double AS train FROM embeddings),
+         embedding::double[] AS x, {train} AS train FROM embeddings),
 train AS (SELECT y, x FROM base WHERE train),
 {descent("train", EMBEDDING_SIZE, score, [f"res * x[{i + 1}]" for i in range(EMBEDDING_SIZE)], 2.0, 150)},
 scored AS (SELECT vec_id, y, {sigmoid(score)} AS s FROM base, final WHERE NOT train),
@@ -202,7 +202,7 @@ area AS (
   SELECT sum(CASE WHEN a.s > b.s THEN 1.0::double WHEN a.s = b.s THEN 0.5::double ELSE 0.0::double END)
          / count(*) AS auc
   FROM scored a, scored b WHERE a.y = 1 AND b.y = 0)
-SELECT vec_id, y AS label, {r("s", 3)} AS score, round(auc, 2) AS auc FROM scored, area"""
+SELECT {columns} y AS label, {r("s", 3)} AS score, round(auc, 2) AS auc FROM scored, area"""
 
 
 def two_loop() -> str:
@@ -320,5 +320,9 @@ ORACLES = {
         scored AS (SELECT y, round({sigmoid("z")}, 6) AS s FROM linear), {CURVE} {AREA}""",
     "roc_points": f"""WITH {LINE_SCORED}, {CURVE} SELECT {r("s")} AS threshold,
         {r("fp / n")} AS fpr, {r("tp / p")} AS tpr FROM curve, totals""",
-    "end_to_end": embedding_job(),
+    "end_to_end": embedding_job(SPLIT_HASH.format(key="vec_id") + " < 0.6::double", "vec_id,"),
+    "job_two_files": embedding_job("vec_id % 5 <> 0", ""),
+    "score_repeated_ids": f"""SELECT CASE WHEN l_linenumber = 2 THEN NULL ELSE l_orderkey END AS key, count(*) AS n,
+        {r("sum(0.01::double * l_discount::double + 0.02::double * l_tax::double + 0.03::double * l_linenumber::double)")} AS z
+        FROM lineitem GROUP BY 1""",
 }
