@@ -39,7 +39,7 @@ RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-
 LONG = 512
 LEAF = 256
 WINDOW = 32
-MEMORY = 200_000
+MEMORY = 50_000
 TEXTS_AT_ONCE = 64
 END = "</w>"
 
