@@ -59,7 +59,9 @@ def local_sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[in
 
     def add():
         met = np.bincount(place_in_sketch(np.concatenate(held)), minlength=COUNTERS)
-        np.copyto(counters, np.minimum(met + counters, 255), casting="unsafe")
+        met += counters
+        np.minimum(met, 255, out=met)
+        counters[:] = met
 
     for batch in batches:
         for text in batch.column(0):
