@@ -1,9 +1,11 @@
 """Document fingerprints by one-permutation MinHash.
 
 A text's distinct word shingles are hashed once. The high bits of a hash pick
-one of ``BINS`` bins, and each bin keeps its least hash. An empty bin copies a
-bin chosen by its own fixed random sequence, the first one that is not empty
-(optimal densification: bins are filled independently of each other). Of every
+one of ``BINS`` bins, and each bin keeps its least hash. An empty bin takes the
+hash of a bin chosen by its own fixed random sequence, the first one that is not
+empty (optimal densification: bins are filled independently of each other), and
+mixes it with its own number: equal hashes still agree there, different ones
+agree by chance in each bin anew, even where one shingle fills them all. Of every
 bin the lowest ``BITS`` bits are stored, packed into hexadecimal digits. Two
 fingerprints agree by chance in 2^-BITS of the bins, which ``likeness`` takes
 out again.
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fitframe.llm.common import map_rows
-from fitframe.llm.hashing import shingle_set
+from fitframe.llm.hashing import mixed, shingle_set
 
 BINS, BITS = 512, 4
 BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
+RANGE_BYTES = 64 << 20
 LEAST_LONG = -(1 << 63)
 
 
@@ -39,6 +42,7 @@ class Fingerprinter:
         # turn[i, j]: when bin i asks bin j. A permutation per bin, fixed by the seed.
         draws = np.random.Generator(np.random.PCG64(7)).random((BINS, BINS))
         self.turn = draws.argsort(1).argsort(1).astype(np.int16)
+        self.own = mixed(np.arange(1, BINS + 1, dtype=np.uint64))
 
     def codes(self, text: str) -> np.ndarray:
         """The low bits of every bin; an array of length 0 for a text without words."""
@@ -52,7 +56,8 @@ class Fingerprinter:
         low[filled] = hashes[first] & np.uint64((1 << BITS) - 1)
         if len(filled) < BINS:
             empty = np.setdiff1d(np.arange(BINS), filled, assume_unique=True)
-            low[empty] = low[filled[self.turn[np.ix_(empty, filled)].argmin(1)]]
+            source = self.turn[np.ix_(empty, filled)].argmin(1)
+            low[empty] = mixed(hashes[first][source] + self.own[empty]) & np.uint64((1 << BITS) - 1)
         return low
 
 
@@ -103,11 +108,13 @@ def fingerprint_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tupl
 def dealt_with_next(documents: DataFrame) -> DataFrame:
     """``bucket, tail, doc_id, text``: ranges of ids, each closed by the first row after it.
 
-    Bounds come from approximate quantiles, a number of them that follows the
-    number of tasks; the least id of each range is all that is read besides.
+    Bounds come from approximate quantiles, as many as it takes for ranges of about
+    ``RANGE_BYTES`` of text, and two for each of the session's shuffle partitions at
+    least; the least id of each range is all that is read besides.
     """
     spark = documents.sparkSession
-    ranges = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 5000)
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG))
     shares = [i / ranges for i in range(1, ranges)] or [0.5]
     found = documents.agg(F.percentile_approx(key, shares, 20 * ranges)).first()[0]
@@ -136,7 +143,7 @@ def dealt_with_next(documents: DataFrame) -> DataFrame:
         F.explode(places).alias("place"), "key", "doc_id", "text"
     )
     dealt = dealt.select("place.bucket", "place.tail", "key", "doc_id", "text")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "tail", "key", "text")
+    ordered = dealt.repartition(ranges, "bucket").sortWithinPartitions("bucket", "tail", "key", "text")
     return ordered.select("bucket", "tail", F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 

@@ -1,12 +1,14 @@
 import hashlib
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from odd_rows import LONG, with_clashes
 from fitframe.llm.bpe import encoded
-from fitframe.llm.fingerprints import fingerprints
+from fitframe.llm.fingerprints import Fingerprinter, fingerprints
+from fitframe.llm.hashing import mixed, shingle_set
 from fitframe.llm.licenses import license_scan
 from fitframe.llm.queries import bpe_digests
 
@@ -82,6 +84,37 @@ def test_odd_fingerprints(odd_documents, no_documents):
     assert fingerprints(no_documents).count() == 0
 
 
+def test_fingerprints_of_short_texts(spark):
+    """Texts of a few words, none in common: nothing may look alike."""
+    for words in (1, 3, 5, 6, 8, 12, 40):
+        rows = [(i, " ".join(f"w{i}x{j}" for j in range(words))) for i in range(200)]
+        found = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        nexts = [r["near_next"] for r in found]
+        assert sum(nexts) / len(nexts) < 0.01
+        assert max(nexts) < 0.1
+        assert len({r["fingerprint"] for r in found}) == len(rows)
+
+
+def test_fingerprint_codes_by_hand():
+    """Every bin against its definition, hash by hash."""
+    maker = Fingerprinter(5)
+    bits = (1 << 64) - 1
+    for words in (3, 7, 60, 2000):
+        text = " ".join(f"w{j * j % 997}y{j}" for j in range(words))
+        hashes = [int(h) for h in shingle_set(text, 5)]
+        least = {}
+        for h in hashes:
+            bin = h >> 64 - 9
+            least[bin] = min(h, least.get(bin, bits))
+        for bin, code in enumerate(maker.codes(text)):
+            if bin in least:
+                assert code == least[bin] & 15
+            else:
+                source = min(least, key=lambda b: maker.turn[bin, b])
+                own = np.array([(least[source] + int(maker.own[bin])) & bits], np.uint64)
+                assert code == int(mixed(own)[0]) & 15
+
+
 def test_licenses(spark, odd_documents, no_documents):
     texts = {
         1: "Released under the GNU General Public License, see the MIT license or CC-BY. MIT License",
