@@ -69,14 +69,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, salts: int = 16) -> DataFrame:
-    """Inner join with ``right``, which has one row per key, over keys that may be hot in ``left``.
+HOT_KEYS = 1000
 
-    ``left`` is dealt by key and by a hash of ``by``; ``right`` goes to every such part.
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Inner join with ``right``, which has one row per key, over a key that may be hot in ``left``.
+
+    ``sizes(key, size)`` counts the rows of ``left``. Keys with more than one in
+    ``HOT_KEYS`` of them, so fewer than ``HOT_KEYS`` keys, are sent to all tasks with
+    their rows of ``right``; all others are shuffled.
     """
-    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    return salted.join(right.withColumn("_salt", parts), [*keys, "_salt"]).drop("_salt")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    hot = sizes.where(F.col("size") * HOT_KEYS > total).select(key)
+    hot = scratch.store(hot.join(right.withColumn("_known", F.lit(True)), key, "left"), "hot").df
+    often = left.join(F.broadcast(hot.where("_known").drop("_known")), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key)
+    return often.unionByName(rest)
 
 
 def words_of(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fitframe.llm.licenses import BASE, LEAST_COVER, SLACK, WORDINGS
-from fitframe.llm.url_filter import RULES
+from fitframe.llm.url_filter import LEAST_PASSAGE, REFERENCES, RULES
 
 ORACLES: dict[str, str] = {}
 
@@ -102,14 +102,29 @@ def _level(name: str, source: str, key: str) -> str:
 
 SUFFIX = "regexp_extract(host, '[^.]*$')"
 DOMAIN = r"regexp_extract(host, '([^.]*\.)?[^.]*$')"
+
+
+
+def _plain(piece: str) -> str:
+    for reference, character in REFERENCES:
+        piece = f"""replace({piece}, '{reference}', '{character.replace("'", "''")}')"""
+    return piece
+
+
 ORACLES["op10_url_filter"] = rf"""
-WITH rest AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)://(.*)', 1) AS r FROM pages),
-u AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH rest AS (SELECT row_number() OVER () AS row, page_id, html, regexp_extract(coalesce(url, ''), '(?s)://(.*)', 1) AS r FROM pages),
+u AS (SELECT row, page_id, html, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 lab AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good
         FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-o AS (SELECT host, count(doc_id) AS n, coalesce(sum(good), 0)::BIGINT AS good
-      FROM u LEFT JOIN lab ON page_id = doc_id GROUP BY host),
+dl AS (SELECT DISTINCT d.row, good, trim(line, E' \t\r\n') AS passage
+       FROM (SELECT row_number() OVER () AS row, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) d JOIN lab USING (doc_id)
+       WHERE length(trim(line, E' \t\r\n')) >= {LEAST_PASSAGE}),
+lv AS (SELECT passage, (2 * sum(good) >= count(*))::INT AS good FROM dl GROUP BY passage),
+pl AS (SELECT DISTINCT row, host, trim({_plain("piece")}, E' \t\r\n') AS passage
+       FROM (SELECT row, host, unnest(regexp_split_to_array(html, '<[^>]*>')) AS piece FROM u)),
+pv AS (SELECT row, host, (2 * sum(good) >= count(*))::INT AS good FROM pl JOIN lv USING (passage) GROUP BY row, host),
+o AS (SELECT host, count(pv.row) AS n, coalesce(sum(good), 0)::BIGINT AS good FROM u LEFT JOIN pv USING (row, host) GROUP BY host),
 base AS (SELECT host, n, good, ((SELECT sum(good) FROM o) + 1.0::DOUBLE) / ((SELECT sum(n) FROM o) + 2.0::DOUBLE) AS prior FROM o),
 {_level("su", "base", SUFFIX)},{_level("dm", "su", DOMAIN)},{_level("ho", "dm", "host")}
 SELECT page_id, host, path, {_rule(0)} AS rule,

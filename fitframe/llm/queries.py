@@ -81,7 +81,7 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
 
 
 def op10_url_filter(spark, sf_dir):
-    return judged_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged_urls(*(table(spark, sf_dir, name) for name in ("pages", "documents", "labels")))
 
 
 def op11_heap_kmeans(spark, sf_dir):
