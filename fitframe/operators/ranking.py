@@ -5,22 +5,34 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fitframe.plans.scratch import Scratch
+
 # Distinct scores that one sorted band may hold.
 BAND_SCORES = 4_000_000
-MAX_BANDS = 10_000
+# Bands that one level of the hierarchy cuts a band of the level above into, at most.
+FAN = 64
 SAMPLES_PER_BAND = 100
 
 
+def levels_of(bands: int, fan: int) -> tuple[int, int]:
+    """How many levels it takes, and how many parts each of them makes, for that many bands."""
+    levels = 1
+    while fan**levels < bands:
+        levels += 1
+    return levels, max(1, math.ceil(round(bands ** (1 / levels), 9)))
+
+
 class RankingCurve:
     """Counts per distinct score, cached until ``unpersist``.
 
     Equal scores share one point. The scores are cut into bands of similar
-    size by sampled quantiles; running counts are local to a band plus the
-    totals of the bands above it, so no task sorts all the scores. Where the
-    cuts fall changes the balance, never the counts.
+    size by sampled quantiles, and those into bands again, level by level, until
+    a task can sort one. Running counts are local to a band plus the totals of
+    those above it in the same band of every level, so no task sorts all the
+    scores or all the bands. Where the cuts fall changes the balance, never the
+    counts.
     """
 
     def __init__(
@@ -30,6 +42,7 @@ class RankingCurve:
         label: str = "label",
         band_scores: int = BAND_SCORES,
         storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+        fan: int = FAN,
     ):
         positive = (F.col(label) > 0).cast("long")
         self._groups = (
@@ -38,66 +51,64 @@ class RankingCurve:
             .persist(storage)
         )
         self.num_scores = self._groups.count()
-        self.num_bands = min(MAX_BANDS, max(1, math.ceil(self.num_scores / band_scores)))
-        self._banded = self._with_bands()
-
-    def _with_bands(self) -> DataFrame:
-        """Add ``band``, which grows with the score."""
-        cuts = []
+        self.num_bands = max(1, math.ceil(self.num_scores / band_scores))
+        self._scratch = Scratch(scored.sparkSession)
+        self._bands: list[str] = []
+        self._banded = self._groups
         if self.num_bands > 1:
-            fraction = min(1.0, SAMPLES_PER_BAND * self.num_bands / self.num_scores)
-            cuts = self._groups.sample(fraction, seed=1).approxQuantile(
-                "score",
-                [i / self.num_bands for i in range(1, self.num_bands)],
-                0.2 / self.num_bands,
-            )
-        inner = sorted({c for c in cuts if math.isfinite(c)})
-        if not inner:
-            return self._groups.withColumn("band", F.lit(0.0))
-        return Bucketizer(
-            splits=[-math.inf, *inner, math.inf],
-            inputCol="score",
-            outputCol="band",
-            handleInvalid="keep",  # NaN scores rank highest
-        ).transform(self._groups)
+            self._cut(*levels_of(self.num_bands, fan))
+
+    def _cut(self, levels: int, parts: int) -> None:
+        """Add a column per level; it grows with the score within the bands of the levels above."""
+        fraction = min(1.0, SAMPLES_PER_BAND * self.num_bands / self.num_scores)
+        finite = F.abs("score") < math.inf
+        sample = self._groups.sample(fraction, seed=1).where(finite).select("score")
+        quantiles = F.percentile_approx("score", [i / parts for i in range(1, parts)], 100 * parts)
+        for level in range(levels):
+            above, name = list(self._bands), f"band_{level}"
+            # Stored: both sides of a later join must see the same cuts.
+            cuts = self._scratch.store(sample.groupBy(*above).agg(quantiles.alias("cuts")), name).df
+            place = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("score"))), F.lit(0))
+            self._banded, sample = (self._with_cuts(df, cuts, above, name, place) for df in (self._banded, sample))
+            self._bands.append(name)
+
+    @staticmethod
+    def _with_cuts(df: DataFrame, cuts: DataFrame, above: list[str], name: str, place: Column) -> DataFrame:
+        if above:
+            joined = df.join(cuts, above, "left")
+        else:
+            joined = df.withColumn("cuts", F.lit(cuts.first()["cuts"] or []).cast("array<double>"))
+        return joined.withColumn(name, F.when(F.col("cuts").isNull(), 0).otherwise(place)).drop("cuts")
 
     def counts(self) -> DataFrame:
         """``(score, pos, neg, pos_above, neg_above)``, a row per distinct score."""
-        higher_first = F.col("score").desc()
         above = (
-            Window.partitionBy("band")
-            .orderBy(higher_first)
+            Window.partitionBy(*self._bands)
+            .orderBy(F.col("score").desc())
             .rowsBetween(Window.unboundedPreceding, -1)
         )
+        sides = ("pos", "neg")
         local = self._banded.select(
             "score",
-            "band",
-            "pos",
-            "neg",
-            F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("pos_above"),
-            F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("neg_above"),
-        )
-        if self.num_bands == 1:
-            return local.drop("band")
-        # One row per band, MAX_BANDS of them at most.
-        bands_above = Window.orderBy(F.col("band").desc()).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        totals = self._banded.groupBy("band").agg(
-            F.sum("pos").alias("band_pos"), F.sum("neg").alias("band_neg")
-        )
-        offsets = totals.select(
-            "band",
-            F.coalesce(F.sum("band_pos").over(bands_above), F.lit(0)).alias("pos_offset"),
-            F.coalesce(F.sum("band_neg").over(bands_above), F.lit(0)).alias("neg_offset"),
-        )
-        return local.join(F.broadcast(offsets), "band").select(
-            "score",
-            "pos",
-            "neg",
-            (F.col("pos_above") + F.col("pos_offset")).alias("pos_above"),
-            (F.col("neg_above") + F.col("neg_offset")).alias("neg_above"),
+            *self._bands,
+            *sides,
+            *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in sides),
         )
+        for level, name in enumerate(self._bands):
+            within = self._bands[: level + 1]
+            totals = self._banded.groupBy(*within).agg(*(F.sum(c).alias(f"total_{c}") for c in sides))
+            # A band has a bounded number of parts, so a bounded number of rows are sorted together.
+            higher = (
+                Window.partitionBy(*within[:-1])
+                .orderBy(F.col(name).desc())
+                .rowsBetween(Window.unboundedPreceding, -1)
+            )
+            offsets = totals.select(
+                *within, *(F.coalesce(F.sum(f"total_{c}").over(higher), F.lit(0)).alias(f"offset_{c}") for c in sides)
+            )
+            sums = {f"{c}_above": F.col(f"{c}_above") + F.col(f"offset_{c}") for c in sides}
+            local = local.join(offsets, within).withColumns(sums).drop(*(f"offset_{c}" for c in sides))
+        return local.drop(*self._bands)
 
     def _totals(self) -> tuple[Column, Column]:
         pos = self._groups.agg(F.sum("pos")).scalar()
@@ -139,6 +150,7 @@ class RankingCurve:
 
     def unpersist(self) -> None:
         self._groups.unpersist()
+        self._scratch.discard_all()
 
 
 def area_under_roc(scored: DataFrame, score: str = "score", label: str = "label") -> float:
