@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fitframe.llm.licenses import BASE, LEAST_COVER, SLACK, WORDINGS
+from fitframe.llm.licenses import BASE, LABELS, LEAST_COVER, PART, SLACK, known_grams
 from fitframe.llm.url_filter import LEAST_PASSAGE, REFERENCES, RULES
 
 ORACLES: dict[str, str] = {}
@@ -44,29 +44,32 @@ SELECT doc_id, size::BIGINT AS size, total AS source_size, target,
        (size * epochs + greatest(0, least(size, extra - before)))::BIGINT AS taken FROM r
 """
 
-_phrases = BASE + WORDINGS
 _rows = ", ".join(
-    f"({i}, {t}, '{a} {b}', '{name}', {len(p.split()) - 1}, {i < len(BASE)})"
-    for i, (name, p) in enumerate(_phrases)
-    for t, (a, b) in enumerate(zip(p.split(), p.split()[1:]))
+    f"({i}, {t}, '{gram}', '{LABELS[i]}', {len(grams)}, {i < len(BASE)})"
+    for i, grams in enumerate(known_grams())
+    for t, gram in enumerate(grams)
 )
 ORACLES["op5_licenses"] = rf"""
-WITH known(phrase, place, pair, label, size, is_base) AS (VALUES {_rows}),
+WITH known(phrase, place, gram, label, size, is_base) AS (VALUES {_rows}),
 d AS (SELECT row_number() OVER () AS row, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-p AS (SELECT row, unnest(range(len(w) - 1)) AS spot, w FROM d WHERE len(w) > 1),
-h AS (SELECT row, phrase, spot - place AS diagonal, bit_or(1::BIGINT << place) AS bits,
+p AS (SELECT row, spot, w[spot + 1] || ' ' || w[spot + 2] AS gram FROM (SELECT row, w, unnest(range(len(w) - 1)) AS spot FROM d WHERE len(w) > 1)
+      UNION ALL SELECT row, spot, array_to_string(w[spot + 1 : spot + 4], ' ')
+      FROM (SELECT row, w, unnest(range(len(w) - 3)) AS spot FROM d WHERE len(w) > 3)),
+h AS (SELECT row, phrase, spot - place AS diagonal, place // {PART} AS part, bit_or(1::BIGINT << (place % {PART})) AS bits,
              any_value(label) AS label, any_value(size) AS size, bool_or(is_base) AS is_base
-      FROM (SELECT row, spot, w[spot + 1] || ' ' || w[spot + 2] AS pair FROM p) JOIN known USING (pair)
-      GROUP BY row, phrase, spot - place),
+      FROM p JOIN known USING (gram) GROUP BY row, phrase, spot - place, place // {PART}),
 g AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, phrase ORDER BY diagonal) > {SLACK}
              THEN 1 ELSE 0 END AS cut FROM h),
 s AS (SELECT *, sum(cut) OVER (PARTITION BY row, phrase ORDER BY diagonal) AS span,
              CASE WHEN is_base AND bit_count(bits) = size THEN diagonal END AS found FROM g),
+y AS (SELECT row, phrase, span, any_value(label) AS label, bool_or(is_base) AS is_base, any_value(size) AS size,
+             bit_count(bit_or(bits)) AS covered,
+             count(found) AS places, min(found) AS first, max(found) AS last FROM s GROUP BY row, phrase, span, part),
 x AS (SELECT row, phrase, span, any_value(label) AS label, bool_or(is_base) AS is_base,
-             bit_count(bit_or(bits)) / any_value(size)::DOUBLE AS share,
-             count(found) AS places, min(found) AS first, max(found) AS last FROM s GROUP BY row, phrase, span),
+             sum(covered) / any_value(size)::DOUBLE AS share,
+             sum(places) AS places, min(first) AS first, max(last) AS last FROM y GROUP BY row, phrase, span),
 a AS (SELECT row, sum(places)::BIGINT AS n_base, min(first)::BIGINT AS first_word, max(last)::BIGINT AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0) AS base_labels,
              string_agg(DISTINCT label, ',' ORDER BY label)

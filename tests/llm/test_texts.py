@@ -9,7 +9,7 @@ from odd_rows import LONG, with_clashes
 from fitframe.llm.bpe import encoded
 from fitframe.llm.fingerprints import Fingerprinter, fingerprints
 from fitframe.llm.hashing import mixed, shingle_set
-from fitframe.llm.licenses import license_scan
+from fitframe.llm.licenses import PART, TEMPLATES, known_grams, license_scan
 from fitframe.llm.queries import bpe_digests
 
 
@@ -148,3 +148,23 @@ def test_licenses(spark, odd_documents, no_documents):
         assert 0 <= r["score"] <= 1
     assert license_scan(with_clashes(odd_documents)).count() == odd_documents.count()
     assert license_scan(no_documents).count() == 0
+
+
+def test_license_texts(spark):
+    """Templates beyond 64 places, whole, with words changed, and cut short."""
+    for label, text in TEMPLATES:
+        words = text.split()
+        changed = [w if i % 40 != 20 else "replaced" for i, w in enumerate(words)]
+        longer = words[: len(words) // 2] + ["two", "more"] + words[len(words) // 2 :]
+        texts = [words, changed, longer, words[: len(words) // 3], words[::-1]]
+        rows = [(i, "filler " * 50 + " ".join(t) + " filler") for i, t in enumerate(texts)]
+        found = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(label in found[i]["labels"].split(",") for i in (0, 1, 2))
+        assert found[0]["score"] == 1.0 and found[4]["score"] < 0.7
+    # The last one is longer than a number has bits: a third of it is no license.
+    assert len(known_grams()[-1]) > 2 * PART
+    rest = " ".join(TEMPLATES[-1][1].split()[80:])
+    cut = license_scan(spark.createDataFrame([(1, rest), (2, " ".join(rest.split()[:30]))], "doc_id long, text string"))
+    scores = {r["doc_id"]: (r["labels"], round(r["score"], 1)) for r in cut.collect()}
+    share = (len(rest.split()) - 3) / len(known_grams()[-1])
+    assert scores[1][0] == "" and abs(scores[1][1] - share) < 0.1 and scores[2][1] < 0.3
