@@ -131,8 +131,10 @@ def removed_lines(
     lists = classes.select("id", F.col("size").cast("double").alias("w"), F.explode(bands()).alias("token"))
 
     def check(pairs: DataFrame) -> DataFrame:
-        close = scratch.store(may_be_alike(pairs, classes), "close").df
-        return alike_lines(close, numbered, classes, scratch, least_alike)
+        close = scratch.store(may_be_alike(pairs, classes), "close")
+        links = alike_lines(close.df, numbered, classes, scratch, least_alike)
+        scratch.discard(close)
+        return links
 
     linked = linked_members(lists, check, scratch)
     grouped = classes.select("id", "h", "g", "size").join(linked, "id", "left").where("size > 1 OR component IS NOT NULL")

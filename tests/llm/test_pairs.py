@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from odd_rows import with_clashes
 from fitframe.llm.common import components
-from fitframe.llm.line_dedup import deduplicated, with_removed, without_repeated_lines
+from fitframe.llm.line_dedup import deduplicated, removed_lines, with_removed, without_repeated_lines
 from fitframe.llm.hashing import shingle_set
 from fitframe.llm.ngram_join import (
     bitmap, bitmap_size, corpus_sketch, differing_bits, near_duplicates, one_of_each, place_in_sketch, role_sets,
@@ -197,6 +197,33 @@ def test_edited_lines_are_found(spark):
     assert all(d % 2 for d in gone) and len(gone) >= 0.97 * wanted
 
 
+def test_tables_on_the_way_go(spark, monkeypatch):
+    """Candidates and lists are deleted as soon as nothing reads them, in both rounds."""
+    left, every = set(), []
+    save, discard = Scratch._save, Scratch.discard
+
+    def saved(self, writer, name):
+        table = save(self, writer, name)
+        left.add(table.name)
+        every.append(name)
+        return table
+
+    def discarded(self, table):
+        left.remove(table.name)
+        discard(self, table)
+
+    monkeypatch.setattr(Scratch, "_save", saved)
+    monkeypatch.setattr(Scratch, "discard", discarded)
+    words = [f"word{i}" for i in range(40)]
+    # Neighbours in this chain are alike, its ends are not: the second round has pairs of its own.
+    rows = [(i, " ".join(f"new{i}x{j}" if j < i else w for j, w in enumerate(words))) for i in range(12)]
+    rows += [(i, f"{i} alone on this line are {i * i} words") for i in range(20, 30)]
+    numbered = spark.createDataFrame(rows, "row long, text string").selectExpr("row", "row AS `order`", "text")
+    removed_lines(numbered, Scratch(spark), 20, 0.8).collect()
+    assert every.count("pairs") == every.count("close") == 2
+    assert not [name for name in left if name.endswith(("_lists", "_places", "_mixed", "_pairs", "_close", "_sets"))]
+
+
 def test_columns_of_any_name_pass(spark):
     names = ["row", "_row", "ROWS", "removed", "order", "at", "_line_row", "id", "h"]
     rows = [(i, f"{LINES[0]} {i // 2}", *(f"{n}{i}" for n in names)) for i in range(6)]
