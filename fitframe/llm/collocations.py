@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fitframe.llm.common import map_rows
+from fitframe.llm.common import give_back, map_rows, small_batches
 from fitframe.llm.hashing import mixed
 from fitframe.plans.scratch import Scratch
 
@@ -231,6 +231,7 @@ def frequent_stripes(
                 for entries in stripes(tokens, marks, languages, sent.value, upto):
                     for at in range(0, entries.num_rows, ROWS):
                         yield entries.slice(at, ROWS)
+            give_back()
 
         entries = texts.mapInArrow(formed, "entry string, f long")
         merged = entries.groupBy("entry").agg(F.sum("f").alias("f"))
@@ -253,7 +254,8 @@ def collocations(
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the first ``most`` phrases of each language."""
     scratch = Scratch(documents.sparkSession)
-    every, totals = frequent_stripes(documents, least, scratch, longest, flush)
+    with small_batches(documents.sparkSession):
+        every, totals = frequent_stripes(documents, least, scratch, longest, flush)
     longer = every.where("length > 1")
     candidates = longer.select("lang", "length", "phrase", F.col("f").alias("a"))
     # What occurs as often with one more word on either side is part of that.

@@ -4,8 +4,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from odd_rows import with_clashes
 from fitframe.llm import collocations as c
+from fitframe.llm.common import BATCH_BYTES, BATCH_SETTING, small_batches
 
 
 def brute(rows, least, most=2000):
@@ -80,3 +83,21 @@ def test_long_text_without_white_space():
     batch = pa.record_batch({"text": ["x" * 1000 + " y", None, ""], "lang": ["en", None, "en"]})
     found = list(c.stretches(iter([batch]), 100))
     assert [t for tokens, _, _ in found for t in tokens if t != c.END and t != b"x" * 1000] == [b"y"]
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """Of many texts at once, a task holds a bounded number of bytes; the session's setting is as before afterwards."""
+    before, during = spark.conf.get(BATCH_SETTING), []
+
+    def filter_of(frequent, own=c.filter_of):
+        during.append(int(spark.conf.get(BATCH_SETTING)))
+        return own(frequent)
+
+    monkeypatch.setattr(c, "filter_of", filter_of)
+    c.collocations(spark.createDataFrame([("a b a b a b", "en")], "text string, lang string"), 2).collect()
+    assert set(during) == {BATCH_BYTES} and spark.conf.get(BATCH_SETTING) == before
+
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.concat(F.lit("x"), F.col("id") % 7), 5000).alias("text"))
+    sizes = texts.mapInArrow(lambda batches: (pa.record_batch({"size": [b.nbytes]}) for b in batches), "size long")
+    with small_batches(spark):
+        assert sizes.agg(F.max("size")).first()[0] < 2 * BATCH_BYTES
