@@ -2,6 +2,7 @@ import pytest
 
 import corpus_pipeline
 from odd_rows import with_clashes
+from fitframe.llm.common import BATCH_BYTES, BATCH_SETTING
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -23,3 +24,13 @@ def test_stages_bear_odd_and_no_rows(spark, odd_documents, no_documents, odd_lab
 
 def test_order_of_stages():
     assert list(STAGES) == ["toxicity", "line_dedup", "ngram_join", "mixing", "bpe"]
+
+
+def test_stages_hand_over_small_batches(spark, no_documents):
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        spark.conf.unset(BATCH_SETTING)
+        STAGES["mixing"](spark, no_documents, "")
+        assert int(spark.conf.get(BATCH_SETTING)) == BATCH_BYTES
+    finally:
+        spark.conf.set(BATCH_SETTING, before)

@@ -48,6 +48,12 @@ def test_bpe_of_nothing(no_documents, tokenizer_path):
     assert encoded(no_documents, tokenizer_path).count() == 0
 
 
+def test_bpe_loads_no_tokenizer_without_rows(spark):
+    """Tasks that have no rows, as all of texts too long for one task mostly are, take no memory for a tokenizer."""
+    rows = spark.range(0, 4, 1, 4).selectExpr("id AS doc_id", "concat('x', id) AS text").where("length(text) > 100")
+    assert encoded(rows, "/no/such/tokenizer.json").count() == 0
+
+
 def test_fingerprints(spark, small):
     documents = spark.read.parquet(f"{small}/documents.parquet")
     rows = fingerprints(documents).orderBy("doc_id").collect()
