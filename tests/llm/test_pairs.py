@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odd_rows import with_clashes
+from fitframe.llm import line_dedup
 from fitframe.llm.common import components
 from fitframe.llm.line_dedup import deduplicated, removed_lines, with_removed, without_repeated_lines
 from fitframe.llm.hashing import shingle_set
@@ -224,6 +225,44 @@ def test_tables_on_the_way_go(spark, monkeypatch):
     assert not [name for name in left if name.endswith(("_lists", "_places", "_mixed", "_pairs", "_close", "_sets"))]
 
 
+def lines_with_edits(rng, n=24, length=60):
+    """Lines of which many are near 0.8 alike, some above and some below, and a very long pair."""
+    base = ["".join(rng.choice(list("abcdefgh "), 6)) for _ in range(length)]
+    lines = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.choice(length, 1 + i % 8, replace=False):
+            words[at] = "".join(rng.choice(list("uvwxyz"), 6))
+        lines.append(" ".join(words))
+    long = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(1500))
+    return [*lines, long, long[:-400] + "another end"]
+
+
+def test_sketches_leave_out_pairs_but_no_link(spark, monkeypatch):
+    lines = lines_with_edits(np.random.default_rng(3))
+    numbered = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "row long, order long, text string")
+    classes = numbered.select(F.col("row").alias("id"), "row", F.lit(0).alias("at"))
+    pairs = spark.createDataFrame([(i, j) for j in range(len(lines)) for i in range(j)], "hub long, member long")
+    whole = {i: {x[k : k + line_dedup.NARROW] for k in range(len(x) - line_dedup.NARROW + 1)} for i, x in enumerate(lines)}
+    expected = {(i, j) for j in whole for i in range(j) if len(whole[i] & whole[j]) >= 0.8 * len(whole[i] | whole[j])}
+    assert 10 < len(expected) < 200
+    checked = []
+    exact = line_dedup.not_far_apart
+
+    def counted(*args):
+        near = exact(*args)
+        checked.append(near.count())
+        return near
+
+    monkeypatch.setattr(line_dedup, "not_far_apart", counted)
+    links = line_dedup.alike_lines(pairs, numbered, classes, Scratch(spark), 0.8)
+    assert {tuple(r) for r in links.collect()} == expected
+    assert len(checked) == 1 and len(expected) <= checked[0] < 0.7 * pairs.count()
+    few = pairs.limit(10)
+    line_dedup.alike_lines(few, numbered, classes, Scratch(spark), 0.8).collect()
+    assert len(checked) == 1
+
+
 def test_columns_of_any_name_pass(spark):
     names = ["row", "_row", "ROWS", "removed", "order", "at", "_line_row", "id", "h"]
     rows = [(i, f"{LINES[0]} {i // 2}", *(f"{n}{i}" for n in names)) for i in range(6)]
