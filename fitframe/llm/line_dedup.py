@@ -115,33 +115,44 @@ def sketches(sets: DataFrame) -> DataFrame:
     return hashes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *words)
 
 
-def not_far_apart(pairs: DataFrame, sets: DataFrame, scratch: Scratch, least_alike: float) -> DataFrame:
-    """The candidates ``hub, member`` without those whose sketches show that they cannot be alike.
+def may_reach(a: list[Column], b: list[Column], least_alike: float) -> Column:
+    """False only for sketches ``n, b0 ..`` of sets that are less alike.
 
     An odd class that is not odd in the other set holds a hash that only one of them has, and
-    sets that are alike differ in at most (1 - s) / (1 + s) of their hashes. Nothing alike is lost.
+    sets that are alike differ in at most (1 - s) / (1 + s) of their hashes.
     """
+    differ = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:], strict=True))
+    sizes = F.least(a[0], b[0]) >= F.greatest(a[0], b[0]) * least_alike - 1e-6
+    return sizes & (differ * (1 + least_alike) <= (a[0] + b[0]) * (1 - least_alike) + 1e-6)
+
+
+def not_far_apart(pairs: DataFrame, sets: DataFrame, scratch: Scratch, least_alike: float) -> DataFrame:
+    """The candidates ``hub, member`` without those whose sketches show that they cannot be alike. Nothing alike is lost."""
     found = scratch.store(sketches(sets), "sketches")
-    side = lambda key, n, b: found.df.toDF(key, n, *(f"{b}{i}" for i in range(SKETCH)))
-    both = pairs.join(side("member", "na", "a"), "member").join(side("hub", "nb", "b"), "hub")
-    differ = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH))
-    near = differ * (1 + least_alike) <= (F.col("na") + F.col("nb")) * (1 - least_alike) + 1e-6
+    names = {x: [f"{x}n", *(f"{x}{i}" for i in range(SKETCH))] for x in "ab"}
+    both = pairs.join(found.df.toDF("member", *names["a"]), "member").join(found.df.toDF("hub", *names["b"]), "hub")
+    near = may_reach(*([F.col(c) for c in names[x]] for x in "ab"), least_alike)
     close = scratch.store(both.where(near).select("hub", "member"), "near").df
     scratch.discard(found)
     return close
 
 
-def alike_lines(
-    pairs: DataFrame, numbered: DataFrame, classes: DataFrame, scratch: Scratch, least_alike: float
-) -> DataFrame:
-    """The candidates ``hub, member`` whose lines are alike, by all their shingles."""
-    ids = pairs.select(F.explode(F.array("hub", "member")).alias("id")).distinct()
+def whole_sets(ids: DataFrame, numbered: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id, whole``: the hashes of all shingles of these lines."""
     # Only these lines are cut out of their texts, which stay where they are.
     wanted = classes.select("id", "row", "at").join(ids.hint("shuffle_hash"), "id").select("row", F.struct("id", "at").alias("w"))
     wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
     texts = numbered.select("row", F.split("text", "\n").alias("lines")).join(wanted.hint("shuffle_hash"), "row")
     lines = texts.select("lines", F.explode("wanted").alias("w")).select("w.id", F.get("lines", F.col("w.at")).alias("line"))
-    sets = scratch.store(lines.select("id", all_shingles(F.col("line"), NARROW, F.hash).alias("whole")), "sets")
+    return lines.select("id", all_shingles(F.col("line"), NARROW, F.hash).alias("whole"))
+
+
+def alike_lines(
+    pairs: DataFrame, numbered: DataFrame, classes: DataFrame, scratch: Scratch, least_alike: float
+) -> DataFrame:
+    """The candidates ``hub, member`` whose lines are alike, by all their shingles."""
+    ids = pairs.select("hub").unionByName(pairs.select(F.col("member").alias("hub"))).distinct().toDF("id")
+    sets = scratch.store(whole_sets(ids, numbered, classes), "sets")
     if pairs.count() > PAIRS_PER_LINE * sets.df.count():
         pairs = not_far_apart(pairs, sets.df, scratch, least_alike)
     both = pairs.join(sets.df.toDF("member", "a"), "member").join(sets.df.toDF("hub", "b"), "hub")
@@ -165,7 +176,12 @@ def removed_lines(
         scratch.discard(close)
         return links
 
-    linked = linked_members(lists, check, scratch)
+    def sketched(ids: DataFrame) -> DataFrame:
+        return sketches(whole_sets(ids, numbered, classes)).select("id", F.struct(*parts).alias("s"))
+
+    parts = ["n", *(f"b{i}" for i in range(SKETCH))]
+    fits = lambda s, t: may_reach([s[c] for c in parts], [t[c] for c in parts], least_alike)
+    linked = linked_members(lists, check, scratch, fits=fits, sketched=sketched)
     grouped = classes.select("id", "h", "g", "size").join(linked, "id", "left").where("size > 1 OR component IS NOT NULL")
     grouped = grouped.select("h", "g", F.coalesce("component", "id").alias("component"))
     grouped = scratch.store(grouped, "grouped").df

@@ -263,6 +263,38 @@ def test_sketches_leave_out_pairs_but_no_link(spark, monkeypatch):
     assert len(checked) == 1
 
 
+def test_crowded_lists_make_few_pairs(spark, monkeypatch):
+    """Lines with a passage in common, and near copies of a line: pairs grow with the lines, and no link is lost."""
+    rng = np.random.default_rng(5)
+    some = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n)]
+    passage, base = some(14), some(40)
+    lines = [" ".join([*passage, *some(8)]) for _ in range(120)]
+    for _ in range(120):
+        words = list(base)
+        for at in rng.choice(40, int(rng.integers(1, 6)), replace=False):
+            words[at] = some(1)[0]
+        lines.append(" ".join(words))
+    sets, root = [char_shingles(line) for line in lines], list(range(len(lines)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                least, most = sorted((root[i], root[j]))
+                root = [least if r == most else r for r in root]
+    wanted = {i for i, r in enumerate(root) if r != i}
+    assert len(wanted) > 50
+    checked = []
+    exact = line_dedup.may_be_alike
+
+    def counted(pairs, classes):
+        checked.append(pairs.count())
+        return exact(pairs, classes)
+
+    monkeypatch.setattr(line_dedup, "may_be_alike", counted)
+    found = deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in found.where("n_removed > 0").collect()} == wanted
+    assert sum(checked) < 12 * len(lines), checked
+
+
 def test_columns_of_any_name_pass(spark):
     names = ["row", "_row", "ROWS", "removed", "order", "at", "_line_row", "id", "h"]
     rows = [(i, f"{LINES[0]} {i // 2}", *(f"{n}{i}" for n in names)) for i in range(6)]
