@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fitframe.llm.common import free_name, linked_members
+from fitframe.llm.common import free_name, linked_in, shared_lists
 from fitframe.plans.scratch import Scratch
 
 NARROW, WIDE = 5, 9
@@ -41,14 +41,29 @@ def shingles(text: Column, width: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{width}}}))[^ ]+ *"), F.lit(1))
 
 
-def all_shingles(text: Column, width: int, hashed=F.xxhash64) -> Column:
+def all_shingles(text: Column, width: int) -> Column:
     """The distinct hashes of the runs of ``width`` characters, or of the whole text if it is shorter."""
     runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
-    return distinct_hashes(F.when(F.length(text) < width, F.array(text)).otherwise(runs), hashed)
+    return distinct_hashes(F.when(F.length(text) < width, F.array(text)).otherwise(runs))
 
 
-def distinct_hashes(texts: Column, hashed=F.xxhash64) -> Column:
-    return F.array_distinct(F.transform(texts, lambda s: hashed(s)))
+def distinct_hashes(texts: Column) -> Column:
+    return F.array_distinct(F.transform(texts, lambda s: F.xxhash64(s)))
+
+
+def narrow_hashes(text: Column) -> Column:
+    """The distinct 32-bit hashes of the runs of ``NARROW`` characters, or of the whole text if it is shorter.
+
+    Every character of UTF-32 has four bytes, so runs are cut out by place, without matching.
+    """
+    size = 4 * NARROW
+
+    def runs(coded: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(coded) - (size - 1), F.lit(1)), F.lit(4))
+        return F.transform(starts, lambda at: F.hash(F.substring(coded, at, F.lit(size))))
+
+    # A lambda's argument is computed once, however often it is used.
+    return F.array_distinct(F.get(F.transform(F.array(F.encode(text, "UTF-32")), runs), F.lit(0)))
 
 
 def signature_shingles(line: Column) -> Column:
@@ -137,14 +152,32 @@ def not_far_apart(pairs: DataFrame, sets: DataFrame, scratch: Scratch, least_ali
     return close
 
 
+def cut_lines(wanted: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The columns of ``wanted(row, at, ..)`` but these two, and ``line``, cut out of its text."""
+    # Only these lines leave their texts, which stay where they are.
+    others = [c for c in wanted.columns if c not in ("row", "at")]
+    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("at", *others)).alias("wanted"))
+    texts = numbered.select("row", F.split("text", "\n").alias("lines")).join(by_row.hint("shuffle_hash"), "row")
+    lines = texts.select("lines", F.explode("wanted").alias("w"))
+    return lines.select(*(F.col(f"w.{c}") for c in others), F.get("lines", F.col("w.at")).alias("line"))
+
+
+def met_lines(ids: DataFrame, numbered: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id, n, e0 .., line`` of the classes that meet others at all, which every later step looks up."""
+    met = classes.join(ids.distinct().hint("shuffle_hash"), "id", "left_semi")
+    return cut_lines(met.select("id", "row", "at", "n", *entry_names()), numbered)
+
+
+def lines_at(ids: DataFrame, numbered: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id, line`` of these lines, which ``classes`` holds as ``line`` or by their place."""
+    if "line" in classes.columns:
+        return classes.select("id", "line").join(ids.hint("shuffle_hash"), "id")
+    return cut_lines(classes.select("id", "row", "at").join(ids.hint("shuffle_hash"), "id"), numbered)
+
+
 def whole_sets(ids: DataFrame, numbered: DataFrame, classes: DataFrame) -> DataFrame:
     """``id, whole``: the hashes of all shingles of these lines."""
-    # Only these lines are cut out of their texts, which stay where they are.
-    wanted = classes.select("id", "row", "at").join(ids.hint("shuffle_hash"), "id").select("row", F.struct("id", "at").alias("w"))
-    wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    texts = numbered.select("row", F.split("text", "\n").alias("lines")).join(wanted.hint("shuffle_hash"), "row")
-    lines = texts.select("lines", F.explode("wanted").alias("w")).select("w.id", F.get("lines", F.col("w.at")).alias("line"))
-    return lines.select("id", all_shingles(F.col("line"), NARROW, F.hash).alias("whole"))
+    return lines_at(ids, numbered, classes).select("id", narrow_hashes(F.col("line")).alias("whole"))
 
 
 def alike_lines(
@@ -152,39 +185,69 @@ def alike_lines(
 ) -> DataFrame:
     """The candidates ``hub, member`` whose lines are alike, by all their shingles."""
     ids = pairs.select("hub").unionByName(pairs.select(F.col("member").alias("hub"))).distinct().toDF("id")
-    sets = scratch.store(whole_sets(ids, numbered, classes), "sets")
-    if pairs.count() > PAIRS_PER_LINE * sets.df.count():
-        pairs = not_far_apart(pairs, sets.df, scratch, least_alike)
-    both = pairs.join(sets.df.toDF("member", "a"), "member").join(sets.df.toDF("hub", "b"), "hub")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = common >= least_alike * (F.size("a") + F.size("b") - common)
-    links = scratch.store(both.where(alike).select("hub", "member"), "links").df
-    scratch.discard(sets)
+    ids = scratch.store(ids, "ids")
+    if pairs.count() > PAIRS_PER_LINE * ids.df.count():
+        # Lines of many pairs get their sets once.
+        held = scratch.store(whole_sets(ids.df, numbered, classes), "sets")
+        pairs = not_far_apart(pairs, held.df, scratch, least_alike)
+        both = with_both(pairs, held.df, "whole").select("hub", "member", "a", "b")
+    else:
+        # Else sets are made where a pair meets, from lines, which are several times smaller.
+        held = ids
+        if "line" not in classes.columns:
+            held = scratch.store(lines_at(ids.df, numbered, classes), "cut")
+            classes = held.df
+        both = with_both(pairs, classes, "line")
+        # Generated columns are computed once, however often a condition reads them.
+        sets = F.struct(narrow_hashes(F.col("a")).alias("a"), narrow_hashes(F.col("b")).alias("b"))
+        both = both.select("hub", "member", F.inline(F.array(sets)).alias("a", "b"))
+    links = scratch.store(both.where(alike_sets(F.col("a"), F.col("b"), least_alike)).select("hub", "member"), "links").df
+    for table in {t.name: t for t in (ids, held)}.values():
+        scratch.discard(table)
     return links
 
 
+def with_both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """The pairs ``hub, member`` with a column of ``rows``, one row per ``id``: the member's as ``a``, the hub's as ``b``."""
+    # Each line has one row, so these fit hash tables, and wide pairs need no sort.
+    rows = rows.select("id", column)
+    both = pairs.join(rows.toDF("member", "a").hint("shuffle_hash"), "member")
+    return both.join(rows.toDF("hub", "b").hint("shuffle_hash"), "hub")
+
+
+def alike_sets(a: Column, b: Column, least_alike: float) -> Column:
+    """Whether the sets' Jaccard similarity is ``least_alike`` or more."""
+    # Sizes alone tell some; the sets of the others are intersected once.
+    sizes = F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * least_alike - 1e-6
+    least_common = (F.size(a) + F.size(b)) * (least_alike / (1 + least_alike)) - 1e-6
+    return sizes & (F.size(F.array_intersect(a, b)) >= least_common)
+
+
 def removed_lines(
     numbered: DataFrame, scratch: Scratch, least_chars: int, least_alike: float
 ) -> DataFrame:
     """``row, removed``: the places of the lines that go, from 0 and ascending."""
     classes = scratch.store(line_classes(numbered, least_chars), "classes").df
     lists = classes.select("id", F.col("size").cast("double").alias("w"), F.explode(bands()).alias("token"))
+    lists = shared_lists(lists, scratch)
+    met = scratch.store(met_lines(lists.df.select("id"), numbered, classes), "met")
 
     def check(pairs: DataFrame) -> DataFrame:
-        close = scratch.store(may_be_alike(pairs, classes), "close")
-        links = alike_lines(close.df, numbered, classes, scratch, least_alike)
+        close = scratch.store(may_be_alike(pairs, met.df), "close")
+        links = alike_lines(close.df, numbered, met.df, scratch, least_alike)
         scratch.discard(close)
         return links
 
     def sketched(ids: DataFrame) -> DataFrame:
-        return sketches(whole_sets(ids, numbered, classes)).select("id", F.struct(*parts).alias("s"))
+        return sketches(whole_sets(ids, numbered, met.df)).select("id", F.struct(*parts).alias("s"))
 
     parts = ["n", *(f"b{i}" for i in range(SKETCH))]
     fits = lambda s, t: may_reach([s[c] for c in parts], [t[c] for c in parts], least_alike)
-    linked = linked_members(lists, check, scratch, fits=fits, sketched=sketched)
+    linked = linked_in(lists, check, scratch, fits=fits, sketched=sketched)
     grouped = classes.select("id", "h", "g", "size").join(linked, "id", "left").where("size > 1 OR component IS NOT NULL")
     grouped = grouped.select("h", "g", F.coalesce("component", "id").alias("component"))
     grouped = scratch.store(grouped, "grouped").df
+    scratch.discard(met)
     # Every place of a line that has others like it.
     own = lines_of(numbered, least_chars).select(*line_keys(), "row", "order", "at").join(grouped, ["h", "g"])
     own = scratch.store(own.select("component", "row", "order", "at"), "own").df

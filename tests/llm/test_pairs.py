@@ -263,6 +263,44 @@ def test_sketches_leave_out_pairs_but_no_link(spark, monkeypatch):
     assert len(checked) == 1
 
 
+def test_sets_hold_every_run_of_characters(spark):
+    """Also beyond 16 bits, where a character is not two."""
+    lines = ["", "abc", "abcde", "aaaaaaaaaa", "\U0001f600 na\u00efve \U0001f601\U0001f600", "\U0001f600" * 8 + "end", "a\tb  c " * 9]
+    found = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    found = found.select("id", F.size(line_dedup.narrow_hashes(F.col("line"))).alias("n")).collect()
+    assert {r["id"]: r["n"] for r in found} == {i: len(char_shingles(x)) for i, x in enumerate(lines)}
+
+
+def test_pairs_link_alike_with_and_without_sketches(spark):
+    """Few pairs a line form sets where they meet, others once a line: the same pairs link."""
+    lines = lines_with_edits(np.random.default_rng(8))
+    classes = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, line string")
+    sets = [char_shingles(x) for x in lines]
+    every = [(i, j) for j in range(len(lines)) for i in range(j)]
+    alike = {(i, j) for i, j in every if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    for pairs in (every, [(i, j) for i, j in every if j - i == 1]):
+        table = spark.createDataFrame(pairs, "hub long, member long")
+        links = line_dedup.alike_lines(table, None, classes, Scratch(spark), 0.8).collect()
+        assert {tuple(r) for r in links} == alike & set(pairs) and links
+
+
+def test_lines_leave_their_texts_once(spark, monkeypatch):
+    """Both rounds look up the lines that meet others; texts are not read again for each."""
+    cut, calls = line_dedup.cut_lines, []
+
+    def counted(wanted, numbered):
+        calls.append(wanted.count())
+        return cut(wanted, numbered)
+
+    monkeypatch.setattr(line_dedup, "cut_lines", counted)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(f"new{i}x{j}" if j < i else w for j, w in enumerate(words))) for i in range(12)]
+    rows += [(i, f"{i} alone on this line are {i * i} words") for i in range(20, 30)]
+    found = deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0")
+    assert found.count() > 0
+    assert len(calls) == 1 and 1 < calls[0] < len(rows)
+
+
 def test_crowded_lists_make_few_pairs(spark, monkeypatch):
     """Lines with a passage in common, and near copies of a line: pairs grow with the lines, and no link is lost."""
     rng = np.random.default_rng(5)
